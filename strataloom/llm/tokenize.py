@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import json
+import random
 import zlib
 from functools import lru_cache
 
@@ -25,12 +26,16 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 BUCKETS = 1 << 16
 #: Units encoded together; distinct units are looked up within a slice, so cost is linear in the text.
-SLICE = 192
+SLICE = 512
 #: The tokenizer's pattern (fixed value), possessive where that changes nothing but speed.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: White space as the tokenizer sees it: Unicode White_Space (fixed value).
 SPACE = r"\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}".replace(r"\x{1c}-\x{1f}", "")
+#: Units above so many bytes merge all occurrences of a pair in one step.
+LONG = 2048
 SEP = "Ā"
+#: The literal merge table has two probes: slots of the first and second hash (primes), and the sign of no merge.
+SLOTS_A, SLOTS_B, NONE = 99991, 88883, 1 << 30
 
 
 @lru_cache(maxsize=4)
@@ -48,6 +53,45 @@ def _rank_json(path: str, name: str) -> str:
     return json.dumps(table, ensure_ascii=False, separators=(",", ":"))
 
 
+@lru_cache(maxsize=4)
+def _byte_ids(path: str, name: str) -> list[int]:
+    known = ranks(path, name)
+    return [known[bytes([b])] for b in range(256)]
+
+
+def _merge_of(known: dict[bytes, int], piece: bytes) -> tuple[int, int] | None:
+    """The two entries that the fold joins last to make ``piece``; None if it never makes it."""
+    parts, top = [piece[i : i + 1] for i in range(len(piece))], known[piece]
+    while len(parts) > 2:
+        found = [(r, i) for i in range(len(parts) - 1) if (r := known.get(parts[i] + parts[i + 1], top)) < top]
+        if not found:
+            return None
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return known[parts[0]], known[parts[1]]
+
+
+@lru_cache(maxsize=4)
+def _merge_json(path: str, name: str) -> str:
+    """All merges as a table of two halves in which each lies at one of two places (cuckoo hashing)."""
+    known = ranks(path, name)
+    table, rng = [0] * (SLOTS_A + SLOTS_B), random.Random(1)
+    for piece, rank in known.items():
+        if len(piece) < 2 or not (pair := _merge_of(known, piece)):
+            continue
+        entry = ((pair[0] * 65536 + pair[1]) << 16) | rank
+        at = (entry >> 16) % SLOTS_A
+        for _ in range(2000):
+            entry, table[at] = table[at], entry
+            if not entry:
+                break
+            places = ((entry >> 16) % SLOTS_A, SLOTS_A + (entry >> 16) % SLOTS_B)
+            at = places[0] if at == places[1] else places[1] if at == places[0] else places[rng.randrange(2)]
+        else:
+            raise ValueError("the merge table is too full; use larger SLOTS_A and SLOTS_B")
+    return json.dumps(table, separators=(",", ":"))
+
+
 @lru_cache(maxsize=4)
 def _unit_cut(path: str, name: str) -> str:
     """A pattern of byte positions within a word that no vocabulary entry spans."""
@@ -77,8 +121,9 @@ def _pieces(state: Column) -> Column:
     return F.filter(F.split(state, SEP), lambda x: x != "")
 
 
-def _encode_unit(table: Column, unit: Column) -> Column:
-    """Ids of one unit: the whole unit if it is an entry, otherwise the fold of ranked merges."""
+def _fold_long(table: Column, unit: Column) -> Column:
+    """Fold for very long units: each step merges all occurrences of the lowest pair, so that the
+    number of steps follows the number of different merges rather than the length."""
 
     def step(state: Column, _: Column) -> Column:
         def merged(p: Column) -> Column:
@@ -86,19 +131,13 @@ def _encode_unit(table: Column, unit: Column) -> Column:
                 F.sequence(F.lit(1), F.size(p) - 1),
                 lambda i: F.struct(_rank(table, F.concat(F.element_at(p, i), F.element_at(p, i + 1))).alias("r"), i.alias("i")),
             )
-            best = F.array_min(F.filter(pairs, lambda x: x["r"].isNotNull()))
 
             def put(b: Column) -> Column:
                 left, right = F.element_at(p, b["i"]), F.element_at(p, b["i"] + 1)
-                return F.struct(
-                    F.replace(
-                        state["s"],
-                        F.concat(F.lit(SEP), left, F.lit(SEP + SEP), right, F.lit(SEP)),
-                        F.concat(F.lit(SEP), left, right, F.lit(SEP)),
-                    ).alias("s"),
-                    F.lit(False).alias("done"),
-                )
+                old = F.concat(F.lit(SEP), left, F.lit(SEP + SEP), right, F.lit(SEP))
+                return F.struct(F.replace(state["s"], old, F.concat(F.lit(SEP), left, right, F.lit(SEP))).alias("s"), F.lit(False).alias("done"))
 
+            best = F.array_min(F.filter(pairs, lambda x: x["r"].isNotNull()))
             return _let(best, lambda b: F.when(b.isNull(), F.struct(state["s"].alias("s"), F.lit(True).alias("done"))).otherwise(put(b)))
 
         return F.when(state["done"], state).otherwise(
@@ -106,18 +145,68 @@ def _encode_unit(table: Column, unit: Column) -> Column:
         )
 
     start = F.struct(F.regexp_replace(unit, "(?s)(.)", f"{SEP}$1{SEP}").alias("s"), F.lit(False).alias("done"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.char_length(unit)), start, step, lambda s: F.transform(_pieces(s["s"]), lambda x: _rank(table, x)))
-    return _let(_rank(table, unit), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded))
+    return F.aggregate(F.sequence(F.lit(1), F.char_length(unit)), start, step, lambda s: F.transform(_pieces(s["s"]), lambda x: _rank(table, x)))
+
+
+def _pair(table: Column, left: Column, right: Column) -> Column:
+    """Id of the entry that the merge of two ids gives, NONE without such a merge: two probes."""
+
+    def second(k: Column) -> Column:
+        return _let(F.element_at(table, (k % SLOTS_B + (SLOTS_A + 1)).cast("int")), lambda e: F.when(F.shiftright(e, 16) == k, e.bitwiseAND(65535)).otherwise(F.lit(NONE).cast("long")))
+
+    def first(k: Column) -> Column:
+        return _let(F.element_at(table, (k % SLOTS_A + 1).cast("int")), lambda e: F.when(F.shiftright(e, 16) == k, e.bitwiseAND(65535)).otherwise(second(k)))
+
+    return _let(left * 65536 + right, first)
+
+
+def _fold_short(tables: Column, unit: Column) -> Column:
+    """Fold for ordinary units. An element holds a piece's id and, in the bits above, the id its
+    merge with the next piece gives (NONE without one); the least element is the next merge, and a
+    step looks up only the two pairs it changes."""
+    table, byte_ids = tables["merges"], tables["bytes"]
+    none = F.array().cast("array<bigint>")
+
+    def put(q: Column, low: Column, i: Column) -> Column:
+        m = F.shiftright(low, 16)
+        left = lambda x: F.array(F.shiftleft(_pair(table, x, m), 16).bitwiseOR(x))
+        right = lambda x: F.shiftleft(_pair(table, m, x), 16)
+        return F.concat(
+            F.slice(q, F.lit(1), F.greatest(i - 2, F.lit(0))),
+            F.when(i > 1, _let(F.element_at(q, i - 1).bitwiseAND(65535), left)).otherwise(none),
+            F.array(F.when(i + 1 < F.size(q), right(F.element_at(q, i + 2).bitwiseAND(65535))).otherwise(F.lit(NONE << 16)).bitwiseOR(m)),
+            F.slice(q, i + 2, F.size(q)),
+        )
+
+    def step(q: Column, _: Column) -> Column:
+        return _let(F.array_min(q), lambda low: F.when(low >= NONE << 16, q).otherwise(put(q, low, F.array_position(q, low).cast("int"))))
+
+    pieces = F.transform(F.split(unit, ""), lambda c: F.element_at(byte_ids, F.ascii(c) + 1))
+    start = _let(
+        pieces,
+        lambda p: F.transform(p, lambda x, i: F.when(i + 1 < F.size(p), F.shiftleft(_pair(table, x, F.element_at(p, i + 2)), 16)).otherwise(F.lit(NONE << 16)).bitwiseOR(x)),
+    )
+    return F.aggregate(F.sequence(F.lit(2), F.char_length(unit)), start, step, lambda q: F.transform(q, lambda x: x.bitwiseAND(65535)))
+
+
+def _encode_unit(tables: Column, unit: Column) -> Column:
+    """Ids of one unit: the whole unit if it is an entry, otherwise the fold of ranked merges."""
+    folded = F.when(F.char_length(unit) <= LONG, _fold_short(tables, unit)).otherwise(_fold_long(tables["ranks"], unit))
+    return _let(_rank(tables["ranks"], unit), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded))
 
 
 def encode(text: Column, path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Column:
     """Token ids (array<int>) of ``text`` by the named byte-level BPE vocabulary."""
-    table = F.from_json(F.lit(_rank_json(path, name)), f"array<map<string,int>>")
+    tables = F.struct(
+        F.from_json(F.lit(_rank_json(path, name)), "array<map<string,bigint>>").alias("ranks"),
+        F.from_json(F.lit(_merge_json(path, name)), "array<bigint>").alias("merges"),
+        F.array(*(F.lit(i).cast("long") for i in _byte_ids(path, name))).alias("bytes"),
+    )
     pattern = PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s+", f"[{SPACE}]+")
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0)
-    as_bytes = F.transform(words, lambda w: F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"))
     cut = _unit_cut(path, name)
-    units = F.flatten(F.transform(as_bytes, lambda w: F.when(w.rlike("[\\x80-\\xff]"), F.split(w, cut)).otherwise(F.array(w))))
+    latin = lambda w: F.decode(F.encode(w, "UTF-8"), "ISO-8859-1")
+    units = F.flatten(F.transform(words, lambda w: F.when(F.octet_length(w) == F.char_length(w), F.array(w)).otherwise(F.split(F.regexp_replace(latin(w), cut, SEP), SEP))))
 
     def encode_slice(table: Column, part: Column) -> Column:
         distinct = F.array_distinct(part)
@@ -128,9 +217,9 @@ def encode(text: Column, path: str = TOKENIZERS, name: str = "byte_bpe_50k") ->
 
     def encode_all(table: Column, u: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(u), F.lit(SLICE))
-        return F.when(F.size(u) == 0, F.array().cast("array<int>")).otherwise(F.flatten(F.transform(starts, lambda s: encode_slice(table, F.slice(u, s, F.lit(SLICE))))))
+        return F.when(F.size(u) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(F.transform(starts, lambda s: encode_slice(table, F.slice(u, s, F.lit(SLICE))))))
 
-    return _let(table, lambda t: _let(units, lambda u: encode_all(t, u)))
+    return _let(tables, lambda t: _let(units, lambda u: encode_all(t, u))).cast("array<int>")
 
 
 def decode(ids: Column, path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Column:
