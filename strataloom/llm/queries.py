@@ -3,19 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strataloom.llm import tokenize
+from strataloom.llm import confusables, leaks, split, stuffing, tokenize
 from strataloom.session import spread, table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 4: pairs of documents whose titles or contents differ as strings but look the same."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "title", "content_text")
+    return confusables.look_alike_pairs(spread(docs), ["title", "content_text"])
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 4: the class of equal-looking values of every title and content."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "title", "content_text")
+    return confusables.classes(spread(docs), ["title", "content_text"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 5: contents above each profile's limit, and whether one must be cut inside a run."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "content_text")
+    cut = split.split_items(spread(docs), table(spark, sf_dir, "chunk_profiles").collect())
+    return cut.select("doc_id", "profile_id", (F.col("longest_run") > F.col("max_size")).cast("int").alias("forced"))
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 5: the pieces of every content above a profile's limit."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "content_text")
+    return split.pieces(spread(docs), table(spark, sf_dir, "chunk_profiles").collect())
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 6: ids of every document's text by byte_bpe_50k."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokenize.encode_documents(spread(docs))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 7: documents that hold a passage of a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return leaks.find_leaks(spread(docs), table(spark, sf_dir, "benchmark"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 8: pages of keywords, links, tags or products."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return stuffing.stuffed_pages(spread(docs)).select("doc_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_ids,)}
+    return {f.__name__: f for f in (p4_found, p4_classes, p5_found, p5_pieces, p6_ids, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict:
