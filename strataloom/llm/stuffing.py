@@ -23,7 +23,7 @@ from strataloom.session import checkpoint_dir
 
 #: Share of characters in list segments; of links, of replicated phrases and of repeated letter
 #: sequences within them; and the number of hosts that makes a phrase replicated.
-SHARE, LINKS, STITCHED, REPEATED, HOSTS = 0.5, 0.2, 0.2, 0.3, 3
+SHARE, LINKS, STITCHED, REPEATED, HOSTS = 0.5, 0.2, 0.2, 0.1, 3
 SHINGLE = 5
 FEATURES = "n_chars int, list_chars int, link_chars int, repeat_share double, phrases array<string>"
 # Words that sentences need and keyword lists lack.
@@ -103,7 +103,6 @@ def segments(text: str) -> tuple[int, list[str], int]:
         if len(_LINK.findall(line)) >= 2:
             for m in _LINK.findall(line):
                 lists.append(m)
-                links += len(m)
             line = re.sub(r"^[\s|,;·•-]+|[\s|,;·•-]+$", "", _LINK.sub("", line))
             lists.append("")
             if not _WORD.search(line):
@@ -135,8 +134,8 @@ def segments(text: str) -> tuple[int, list[str], int]:
     again = [s for s, n in sentences.items() if n >= 3]  # the same sentence over and over
     lists.extend(s for s in again for _ in range(sentences[s]))
     for s in lists:
-        if s and not _LINK.fullmatch(s):
-            links += sum(map(len, _URL.findall(s)))
+        found = _LINK.findall(s)
+        links += sum(map(len, found or _URL.findall(s)))
     return total, lists, links
 
 
@@ -155,7 +154,7 @@ def phrases(lists: list[str]) -> Counter:
 
 def repeat_share(lists: list[str]) -> float:
     """Share of the list segments' letter sequences (three of a wide script, six of others) that occur three times or more."""
-    text = "".join(_WORD.findall(_URL.sub("", "".join(lists)).lower()))
+    text = "".join(w for w in _WORD.findall(_URL.sub("", " ".join(lists)).lower()) if not w.isdigit())
     k = 3 if len(_WIDE.findall(text)) > len(text) / 3 else 6
     grams = Counter(text[i : i + k] for i in range(len(text) - k + 1))
     return sum(n for n in grams.values() if n >= 3) / max(grams.total(), 1)
