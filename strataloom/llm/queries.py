@@ -5,10 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import confusables, leaks, split, stuffing, tokenize
+from strataloom.llm import confusables, languages, leaks, sentences, split, stuffing, tokenize
 from strataloom.session import spread, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 1: sentence units of the fields in segment_sample."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "abstract_text", "content_text")
+    model = sentences.fit_on(docs, "abstract_text", "content_text")
+    asked = table(spark, sf_dir, "segment_sample").distinct()
+    flags = asked.groupBy("doc_id").agg(*(F.max((F.col("field_name") == f).cast("int")).alias(f"has_{f}") for f in ("abstract_text", "content_text")))
+    chosen = docs.join(flags, "doc_id").select("doc_id", *(F.when(F.col(f"has_{f}") == 1, F.col(f)).alias(f) for f in ("abstract_text", "content_text")))
+    return sentences.sentence_units(chosen, ["abstract_text", "content_text"], model)
+
+
+def p1_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 1: sentence units of every abstract and content."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "abstract_text", "content_text")
+    model = sentences.fit_on(docs, "abstract_text", "content_text")
+    return sentences.sentence_units(spread(docs), ["abstract_text", "content_text"], model)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 2: languages of the abstracts whose label is missing or wrong or that are mixed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "language", "abstract_text")
+    return languages.mislabelled(spread(docs)).select("doc_id", "seg_no", "language")
+
+
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 2: every segment of every abstract with its language and confidence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "language", "abstract_text")
+    return languages.identify(spread(docs)).select("doc_id", F.inline("segments"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 4: pairs of documents whose titles or contents differ as strings but look the same."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "title", "content_text")
@@ -53,7 +82,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_classes, p5_found, p5_pieces, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_languages, p4_found, p4_classes, p5_found, p5_pieces, p6_ids, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict:
