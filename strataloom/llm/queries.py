@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import confusables, languages, leaks, sentences, split, stuffing, tokenize
+from strataloom.llm import confusables, languages, leaks, scans, sentences, split, stuffing, tokenize
 from strataloom.session import spread, table
 
 
@@ -38,6 +38,18 @@ def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(spread(docs)).select("doc_id", F.inline("segments"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 3: traces of scanning in abstracts and contents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "title", "abstract_text", "content_text")
+    return scans.scan_traces(spread(docs)).select("doc_id", "field_name", "damage", "reading")
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 3: every content in continuous paragraphs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "title", "content_text")
+    return scans.paragraphs(spread(docs), "content_text")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 4: pairs of documents whose titles or contents differ as strings but look the same."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "title", "content_text")
@@ -82,7 +94,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_languages, p4_found, p4_classes, p5_found, p5_pieces, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_languages, p3_found, p3_paragraphs, p4_found, p4_classes, p5_found, p5_pieces, p6_ids, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict:
