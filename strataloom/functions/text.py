@@ -105,7 +105,7 @@ def sentences(text: Column) -> Column:
 
 def split_keywords(text: Column) -> Column:
     """Keywords split at the usual separators, trimmed, first of equal ones (ignoring case) kept."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[;,；，、|/\n]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[;,；，、|/\n]"), lambda x: F.trim(x)), lambda x: x != "")
     return distinct_ignoring_case(parts)
 
 
