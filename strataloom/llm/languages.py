@@ -93,8 +93,19 @@ class TextModel:
         return self.table[ids].sum(0) if len(ids) >= 3 else np.zeros(len(LANGUAGES), np.float32)
 
 
+# What is known of scripts before any text is seen; keeps rare languages from being defined by wrong labels.
+_SCRIPTS = {"zh": {"<han>": 400}, "ja": {"<kana>": 240, "<han>": 160}, "ru": {"<cyrillic>": 400}, "ko": {"<hangul>": 400}, "th": {"<thai>": 400}}
+
+
+def _fits(tokens: list[str], language: int) -> bool:
+    """Whether a text's script can be that of a language."""
+    own = _SCRIPTS.get(LANGUAGES[language])
+    n = sum((t in own) if own else t[0] != "<" for t in tokens)
+    return n > 0.5 * len(tokens) and (LANGUAGES[language] != "ja" or "<kana>" in tokens)
+
+
 def _estimate(rows: list[tuple[list[str], int]], least: int) -> TextModel:
-    counts = [Counter() for _ in LANGUAGES]
+    counts = [Counter(_SCRIPTS.get(x, {})) for x in LANGUAGES]
     for tokens, language in rows:
         counts[language].update(tokens)
     total = Counter()
@@ -109,7 +120,7 @@ def _estimate(rows: list[tuple[list[str], int]], least: int) -> TextModel:
 def fit(rows: list[tuple[str, str]], cutter: sentences.Model, least: int = 3) -> TextModel:
     """The model of rows (text, language code), refitted twice on the labels it gives to their sentences."""
     known = [(text, LANGUAGES.index(code)) for text, code in rows if text and code in LANGUAGES]
-    model = _estimate([(_tokens(t), k) for t, k in known], least)
+    model = _estimate([(tokens, k) for t, k in known if _fits(tokens := _tokens(t), k)], least)
     parts = [_tokens(p) for t, _ in known for p in _parts(t, cutter)[1]]
     for _ in range(2):
         labelled = []

@@ -33,8 +33,10 @@ FUNCTION_WORDS = frozenset(
 _END = re.compile(r"[.!?…。！？]+[\"'”’»」』)\]）】]*(?:\[\d+(?:[-,–]\d+)*\])*(?=\s|$|[^\x00-\x7f])|[。！？]+[”’」』）]*")
 _LINK = re.compile(r"!?\[[^\]\n]*\]\([^)\s]*\)|<a\s[^>]*>[^<]*</a>")
 _URL = re.compile(r"(?:https?://|www\.)[^\s,，、|<>]+")
+# How lines of keywords of an article begin.
+KEYWORD_LINES = "index terms|key ?words|schlüsselwörter|schlagwörter|mots[- ]clés|palabras clave|palavras[- ]chave|ключевые слова|关键词|關鍵詞|キーワード|키워드|주제어|คำสำคัญ"
 _ORDINARY = re.compile(
-    r"^\s*\[?\d+[\].)]\s.*\b\d{4}\b.*\d\s*[-–]\s*\d|[.…·]{3,}\s*\d+\s*$|^\s*[\w.-]+:\s?https?://\S+\s*$|^\s*(?:[A-Za-zÀ-ÿ]+ ?[A-Za-zÀ-ÿ-]*\s*(?:[:：]|\s[-–]\s)|关键词\s*[:：]|キーワード\s*[:：]|키워드\s*[:：]|คำสำคัญ\s*[:：]).{0,400}$"
+    rf"^\s*\[?\d+[\].)]\s.*\b\d{{4}}\b.*\d\s*[-–]\s*\d|[.…·]{{3,}}\s*\d+\s*$|^\s*(?!https?:)[\w.-]+:\s?https?://\S+\s*$|^\s*(?i:{KEYWORD_LINES})\s*(?:[:：]|[-–—])(?!.*https?://).*$"
 )
 _MARKS = re.compile(r"\s*[|、,，;；/\t]\s*|\s*[»:]\s+|\s{2,}|\s-\s|\s*#")
 _THAI = re.compile(r"[฀-๿]")
