@@ -135,13 +135,13 @@ def fit(texts: list[str], rounds: int = 100) -> Model:
                 if last and _HEADING.match(follow.splitlines()[0]) and not _ENDS.search(follow.splitlines()[0]):
                     continue
                 prev, (_, nxt) = _context(p, m.start(), m.end(), 0)[0], _context(follow, 0, 0, at)
-                if not prev or not nxt or _kind(nxt[0]) in "ar,;:":
+                if not prev or not nxt or nxt[0] in ",;:" or (_kind(nxt[0]) in "ar" and nxt.islower()):
                     continue
                 if not last and at == m.end():  # a missing space is learnt from no reliable dot
                     continue
                 pairs.append((prev, nxt))
                 labels.append(int(last))
-    headings = frozenset(t for t, n in lines.items() if n >= 3)
+    headings = frozenset(skeleton(t) for t, n in lines.items() if n >= 3)
     weights = np.zeros(WIDTH)
     often = Counter(t for prev, nxt in pairs for t in (prev.lower(), nxt))
     known = frozenset(t for t, n in often.items() if n >= OFTEN)
@@ -203,7 +203,7 @@ def _goes_on(text: str, mark: str, end: int, b: int, model: Model, start: int) -
         return True
     if "…" in body or "..." in body:
         return kind in "arTKC9" or (not gap and kind != "A")
-    if kind in "ar":
+    if kind in "ar" and (not gap or _context(text, end, end, at)[1].islower()):  # not so pH or mRNA
         return True
     if any(c in HARD for c in body):
         if not closed:
@@ -246,6 +246,8 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
 
 def _heading(line: str, model: Model, before: str, after: str) -> bool:
     """Whether a line stands for itself: short, without an end mark, numbered or known as a heading."""
+    if not line.isascii():
+        line = skeleton(line)
     m = _HEADING.match(line)
     if not m or _ENDS.search(line) or not after:
         return False
