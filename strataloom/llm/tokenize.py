@@ -31,6 +31,8 @@ SLICE = 512
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: White space as the tokenizer sees it: Unicode White_Space (fixed value).
 SPACE = r"\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}".replace(r"\x{1c}-\x{1f}", "")
+#: Rows whose units are encoded ahead, and the largest number of units remembered from them.
+SAMPLE, REMEMBERED = 10000, 30000
 #: Units above so many bytes merge all occurrences of a pair in one step.
 LONG = 2048
 SEP = "Ā"
@@ -190,36 +192,62 @@ def _fold_short(tables: Column, unit: Column) -> Column:
 
 
 def _encode_unit(tables: Column, unit: Column) -> Column:
-    """Ids of one unit: the whole unit if it is an entry, otherwise the fold of ranked merges."""
+    """Ids of one unit: one lookup if it is an entry or remembered, otherwise the fold of ranked merges."""
     folded = F.when(F.char_length(unit) <= LONG, _fold_short(tables, unit)).otherwise(_fold_long(tables["ranks"], unit))
-    return _let(_rank(tables["ranks"], unit), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded))
+    looked_up = lambda r: F.when(r.isNull(), folded).when(r >= 0, F.array(r)).otherwise(F.element_at(tables["memo"], (-r).cast("int")))
+    return _let(_rank(tables["ranks"], unit), looked_up)
 
 
-def encode(text: Column, path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Column:
-    """Token ids (array<int>) of ``text`` by the named byte-level BPE vocabulary."""
-    tables = F.struct(
-        F.from_json(F.lit(_rank_json(path, name)), "array<map<string,bigint>>").alias("ranks"),
-        F.from_json(F.lit(_merge_json(path, name)), "array<bigint>").alias("merges"),
-        F.array(*(F.lit(i).cast("long") for i in _byte_ids(path, name))).alias("bytes"),
-    )
+def units(text: Column, path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Column:
+    """Units of a text in order, bytes as ISO-8859-1 characters; they are encoded one by one."""
     pattern = PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s+", f"[{SPACE}]+")
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0)
     cut = _unit_cut(path, name)
     latin = lambda w: F.decode(F.encode(w, "UTF-8"), "ISO-8859-1")
-    units = F.flatten(F.transform(words, lambda w: F.when(F.octet_length(w) == F.char_length(w), F.array(w)).otherwise(F.split(F.regexp_replace(latin(w), cut, SEP), SEP))))
+    return F.flatten(F.transform(words, lambda w: F.when(F.octet_length(w) == F.char_length(w), F.array(w)).otherwise(F.split(F.regexp_replace(latin(w), cut, SEP), SEP))))
+
+
+def _tables(path: str, name: str, memo: dict[str, list[int]]) -> Column:
+    """The literal tables: ranks by bucket (remembered units have negative places), memo, merges, byte ids."""
+    ranked = _rank_json(path, name)
+    if memo:
+        table = json.loads(ranked)
+        for place, unit in enumerate(memo, 1):
+            table[zlib.crc32(unit.encode()) % BUCKETS][unit] = -place
+        ranked = json.dumps(table, ensure_ascii=False, separators=(",", ":"))
+    return F.struct(
+        F.from_json(F.lit(ranked), "array<map<string,bigint>>").alias("ranks"),
+        F.from_json(F.lit(json.dumps(list(memo.values()) or [[0]], separators=(",", ":"))), "array<array<bigint>>").alias("memo"),
+        F.from_json(F.lit(_merge_json(path, name)), "array<bigint>").alias("merges"),
+        F.array(*(F.lit(i).cast("long") for i in _byte_ids(path, name))).alias("bytes"),
+    )
+
+
+def remembered(df: DataFrame, text_col: str = "text", path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> dict[str, list[int]]:
+    """Ids of the distinct units that occur at least twice among the texts of at most ``SAMPLE`` rows
+    and are no entries. They only save work: other units are folded where they occur."""
+    u = df.select(text_col).limit(SAMPLE).select(F.explode(F.array_distinct(units(F.col(text_col), path, name))).alias("u"))
+    often = u.where(F.char_length("u") <= 64).groupBy("u").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "u").limit(REMEMBERED)
+    t = _tables(path, name, {})
+    rows = often.select("u", _let(t, lambda t: _encode_unit(t, F.col("u"))).alias("ids")).where(F.size("ids") > 1).collect()
+    return {r.u: r.ids for r in rows}
+
+
+def encode(text: Column, path: str = TOKENIZERS, name: str = "byte_bpe_50k", memo: dict[str, list[int]] | None = None) -> Column:
+    """Token ids (array<int>) of ``text`` by the named byte-level BPE vocabulary."""
 
-    def encode_slice(table: Column, part: Column) -> Column:
+    def encode_slice(tables: Column, part: Column) -> Column:
         distinct = F.array_distinct(part)
         return _let(
-            F.map_from_arrays(distinct, F.transform(distinct, lambda u: _encode_unit(table, u))),
+            F.map_from_arrays(distinct, F.transform(distinct, lambda u: _encode_unit(tables, u))),
             lambda known: F.flatten(F.transform(part, lambda u: F.element_at(known, u))),
         )
 
-    def encode_all(table: Column, u: Column) -> Column:
+    def encode_all(tables: Column, u: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(u), F.lit(SLICE))
-        return F.when(F.size(u) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(F.transform(starts, lambda s: encode_slice(table, F.slice(u, s, F.lit(SLICE))))))
+        return F.when(F.size(u) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(F.transform(starts, lambda s: encode_slice(tables, F.slice(u, s, F.lit(SLICE))))))
 
-    return _let(tables, lambda t: _let(units, lambda u: encode_all(t, u))).cast("array<int>")
+    return _let(_tables(path, name, memo or {}), lambda t: _let(units(text, path, name), lambda u: encode_all(t, u))).cast("array<int>")
 
 
 def decode(ids: Column, path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Column:
@@ -234,4 +262,5 @@ def decode(ids: Column, path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> C
 
 def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """One row for each document: its id and ``ids``."""
-    return df.select(F.col(id_col), encode(F.col(text_col), path, name).alias("ids"))
+    memo = remembered(df, text_col, path, name)
+    return df.select(F.col(id_col), encode(F.col(text_col), path, name, memo).alias("ids"))
