@@ -22,6 +22,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.session import spread
+
 #: Where the vocabulary files lie; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
 BUCKETS = 1 << 16
@@ -31,8 +33,8 @@ SLICE = 512
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: White space as the tokenizer sees it: Unicode White_Space (fixed value).
 SPACE = r"\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}".replace(r"\x{1c}-\x{1f}", "")
-#: Rows whose units are encoded ahead, and the largest number of units remembered from them.
-SAMPLE, REMEMBERED = 10000, 30000
+#: Rows whose units are encoded ahead, their length at most, and the largest number of units remembered.
+SAMPLE, SHORT, REMEMBERED = 6000, 8000, 16000
 #: Units above so many bytes merge all occurrences of a pair in one step.
 LONG = 2048
 SEP = "Ā"
@@ -224,13 +226,21 @@ def _tables(path: str, name: str, memo: dict[str, list[int]]) -> Column:
 
 
 def remembered(df: DataFrame, text_col: str = "text", path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> dict[str, list[int]]:
-    """Ids of the distinct units that occur at least twice among the texts of at most ``SAMPLE`` rows
-    and are no entries. They only save work: other units are folded where they occur."""
-    u = df.select(text_col).limit(SAMPLE).select(F.explode(F.array_distinct(units(F.col(text_col), path, name))).alias("u"))
-    often = u.where(F.char_length("u") <= 64).groupBy("u").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "u").limit(REMEMBERED)
+    """Ids of the distinct units that occur at least twice among at most ``SAMPLE`` short texts and are
+    no entries. They only save work: other units are folded where they occur.
+
+    The sample comes to the driver (at most ``SAMPLE`` texts of ``SHORT`` characters), as a limit
+    within a plan would move rows of every partition into one task.
+    """
+    rows = df.select(text_col).where(F.char_length(text_col) <= SHORT).limit(SAMPLE).collect()
+    if not rows:
+        return {}
+    sample = df.sparkSession.createDataFrame([(r[0],) for r in rows], "t string")
+    u = spread(sample).select(F.explode(F.array_distinct(units(F.col("t"), path, name))).alias("u"))
+    often = u.where(F.char_length("u") <= 64).groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
     t = _tables(path, name, {})
-    rows = often.select("u", _let(t, lambda t: _encode_unit(t, F.col("u"))).alias("ids")).where(F.size("ids") > 1).collect()
-    return {r.u: r.ids for r in rows}
+    coded = often.select("u", "n", _let(t, lambda t: _encode_unit(t, F.col("u"))).alias("ids")).where(F.size("ids") > 1)
+    return {r.u: r.ids for r in coded.orderBy(F.desc("n"), "u").limit(REMEMBERED).collect()}
 
 
 def encode(text: Column, path: str = TOKENIZERS, name: str = "byte_bpe_50k", memo: dict[str, list[int]] | None = None) -> Column:
