@@ -34,7 +34,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s+(
 #: White space as the tokenizer sees it: Unicode White_Space (fixed value).
 SPACE = r"\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}".replace(r"\x{1c}-\x{1f}", "")
 #: Rows whose units are encoded ahead, their length at most, and the largest number of units remembered.
-SAMPLE, SHORT, REMEMBERED = 6000, 8000, 16000
+SAMPLE, SHORT, REMEMBERED = 5000, 8000, 12000
 #: Units above so many bytes merge all occurrences of a pair in one step.
 LONG = 2048
 SEP = "Ā"
@@ -272,5 +272,6 @@ def decode(ids: Column, path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> C
 
 def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> DataFrame:
     """One row for each document: its id and ``ids``."""
+    df.sparkSession.conf.set("spark.sql.maxPlanStringLength", 20_000)  # else every description of the plan holds the tables
     memo = remembered(df, text_col, path, name)
     return df.select(F.col(id_col), encode(F.col(text_col), path, name, memo).alias("ids"))
