@@ -26,7 +26,7 @@ from strataloom.session import spread
 
 #: Where the vocabulary files lie; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 #: Units encoded together; distinct units are looked up within a slice, so cost is linear in the text.
 SLICE = 512
 #: The tokenizer's pattern (fixed value), possessive where that changes nothing but speed.
