@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
 from strataloom.operators import extract, keywords, rules
-from strataloom.session import table
+from strataloom.session import spread, table
 
 HAN = r"[\x{4e00}-\x{9fff}]"
 _in = lambda terms: ", ".join(f"'{t}'" for t in terms)
@@ -63,7 +63,7 @@ def query(sql: str | None = None):
 
 
 def sentence_rows(docs: DataFrame, col: str, *keep: str) -> DataFrame:
-    s = docs.select("doc_id", *keep, T.sentences(F.col(col)).alias("s")).withColumn("n", F.size("s"))
+    s = spread(docs.select("doc_id", *keep, F.col(col).alias("t"))).select("doc_id", *keep, T.sentences(F.col("t")).alias("s")).withColumn("n", F.size("s"))
     return s.select("doc_id", *keep, "n", F.posexplode("s").alias("idx", "sentence"))
 
 
