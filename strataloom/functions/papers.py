@@ -169,3 +169,20 @@ def resilient(call, items: list, least: int = 1) -> dict:
         except Exception:
             pass
     return got
+
+
+# Sections that a fund proposal needs, and how their headings begin.
+FUND_SECTIONS = {"basis": r"立项依据|研究背景|background|rationale", "aims": r"研究目标|研究内容|aims|objectives", "plan": r"研究方案|技术路线|work ?plan|methods", "novelty": r"创新|innovation|novelty", "foundation": r"研究基础|工作条件|foundation|preliminary", "budget": r"经费|budget"}
+
+
+def fund_sections(text: str) -> tuple[list[tuple[str, str]], list[str]]:
+    """SRC-10: sections of a fund proposal (kind, body) by their headings, and the kinds that are missing."""
+    found: list[list] = []
+    for line in text.splitlines():
+        head = re.sub(r"^[\s#（(]*(?:[一二三四五六七八九十\d]+[.、)）．\s]*)*", "", line).strip()
+        kind = next((k for k, p in FUND_SECTIONS.items() if len(head) <= 40 and re.match(rf"(?i)(?:{p})", head)), None)
+        if kind:
+            found.append([kind, []])
+        elif found:
+            found[-1][1].append(line)
+    return [(k, "\n".join(b).strip()) for k, b in found], [k for k in FUND_SECTIONS if k not in {x[0] for x in found}]

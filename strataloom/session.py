@@ -25,8 +25,8 @@ def local_session(cores: int | str = 8, app: str = "strataloom", memory: str = "
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(named)

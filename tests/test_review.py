@@ -22,6 +22,11 @@ def test_papers():
     assert all(len(c) <= 60 for c in P.heading_chunks("1. Ice\nshort\n\n2. Flow\n" + "word " * 8, 60))
 
 
+def test_fund_sections():
+    got, missing = P.fund_sections("（一）立项依据\nWhy.\n2. 研究内容\nWhat.\n\n经费预算\n10")
+    assert got == [("basis", "Why."), ("aims", "What."), ("budget", "10")] and missing == ["plan", "novelty", "foundation"]
+
+
 def test_resilient():
     def call(items):
         if 3 in items:
