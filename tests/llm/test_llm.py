@@ -243,6 +243,19 @@ def test_planted_leaks():
         assert list(index.search([noise(200) + item[a : a + 59] + noise(200)])) == []
 
 
+def test_long_texts_are_searched_in_parts(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(leaks, "STRIDE", 150)
+    rng = random.Random(6)
+    item = "".join(rng.choice("abcdefghij") for _ in range(200))
+    texts = ["".join(rng.choice("klmnop") for _ in range(rng.randrange(900))) for _ in range(60)]
+    texts = [t[: len(t) // 2] + (item[i : i + 60] if i % 2 else item[i : i + 59]) + t[len(t) // 2 :] for i, t in enumerate(texts)]
+    search = leaks._searcher(leaks.Index([(1, "en", item)]))
+    got = pd.concat(search(iter([pd.DataFrame({"doc": range(60), "text": texts})])))
+    assert got["doc_id"].tolist() == [i for i in range(60) if i % 2]
+
+
 # Problem 8
 
 
