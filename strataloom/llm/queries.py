@@ -45,9 +45,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problem 3: every content in continuous paragraphs."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "title", "content_text")
-    return scans.paragraphs(spread(docs), "content_text")
+    """Problem 3: every abstract and content in continuous paragraphs of correctly read words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "title", "abstract_text", "content_text")
+    return scans.paragraphs(spread(docs), "abstract_text", "content_text")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

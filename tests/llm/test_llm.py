@@ -141,6 +141,17 @@ def test_scanned_page(spark):
     assert "ready for the second set of regions" in text and "Annals" not in text
 
 
+def test_readings_are_written_into_both_fields(spark):
+    page = "The hybrid flow solver lowers the error in all of the\nregions of the first set. The multi-\nscale model was ready for the second\nset of regions which vvere used here with\nthe sarne result as before.\n\n本次实验的时问很短，\n结果仍然可靠。"
+    clean = "The sets were used with the same result by a multi-scale model. 本次实验的时间很短。"
+    rows = [(1, "t", page, page)] + [(i, "t", f"{i} {clean}", f"{i} {clean}" * 3) for i in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, abstract_text string, content_text string")
+    got = scans.paragraphs(df, "abstract_text", "content_text").where("doc_id = 1").first()
+    for text in (got.abstract_text, got.content_text):
+        assert "The multi-scale model was ready for the second set of regions which were used here with the same result" in text
+        assert "时间很短，结果" in text
+
+
 # Problem 4
 
 
