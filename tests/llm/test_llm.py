@@ -152,6 +152,16 @@ def test_readings_are_written_into_both_fields(spark):
         assert "时间很短，结果" in text
 
 
+def test_copies_of_a_misread_page(spark):
+    page = "The hybrid flow solver lowers the error in all of the\nregions of the first set and of the other\nset of regions which vvere used here and there with\nthe sarne result as before."
+    clean = "The sets were used here with the same result. "
+    rows = [(i, "t", None, page) for i in range(60)] + [(i, "t", None, f"{i} {clean}") for i in range(60, 90)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, abstract_text string, content_text string")
+    got = {tuple(r) for r in scans.scan_traces(df).collect()}
+    assert {(i, "content_text", "glyph", w) for i in range(60) for w in ("were", "same")} <= got
+    assert {r.option: r.n for r in scans.lexicon(df, ["abstract_text", "content_text"]).collect()}["vvere"] == 1
+
+
 # Problem 4
 
 
