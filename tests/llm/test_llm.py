@@ -162,6 +162,14 @@ def test_copies_of_a_misread_page(spark):
     assert {r.option: r.n for r in scans.lexicon(df, ["abstract_text", "content_text"]).collect()}["vvere"] == 1
 
 
+def test_short_and_unlikely_misreadings(spark):
+    rows = [(1, "t", "See the long data page of the new set for the qiiery\nplanner protocol.", None), (2, "t", "The vvhole kemel was tested.", None), (3, "t", "The regions of the first set and all the\nother sets use the kemel of the baselme and\nthe values of the tables.", None)]
+    rows += [(i, "t", f"{i} The whole query of the kernel at the baseline was tested.", None) for i in range(4, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, abstract_text string, content_text string")
+    got = {(r.doc_id, r.damage, r.reading) for r in scans.scan_traces(df).collect()}
+    assert got == {(1, "glyph", "query"), (2, "glyph", "whole"), (2, "glyph", "kernel"), (3, "glyph", "kernel"), (3, "glyph", "baseline")}
+
+
 # Problem 4
 
 
