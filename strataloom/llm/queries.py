@@ -66,7 +66,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem 5: contents above each profile's limit, and whether one must be cut inside a run."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "content_text")
     cut = split.split_items(spread(docs), table(spark, sf_dir, "chunk_profiles").collect())
-    return cut.select("doc_id", "profile_id", (F.col("longest_run") > F.col("max_size")).cast("int").alias("forced"))
+    return cut.where(F.size("pieces") > 1).select("doc_id", "profile_id", split.forced_cut().cast("int").alias("forced"))
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,13 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problem 7: documents that hold a passage of a benchmark item."""
+    """Problem 7: documents that hold an unchanged passage of a benchmark item (the statement's rule,
+    the last filter of ``p7_passages``)."""
+    return p7_passages(spark, sf_dir).where("exact").select("doc_id", "item_id")
+
+
+def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problem 7: documents that hold a passage of a benchmark item, unchanged or edited."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return leaks.find_leaks(spread(docs), table(spark, sf_dir, "benchmark"))
 
@@ -94,7 +100,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_languages, p3_found, p3_paragraphs, p4_found, p4_classes, p5_found, p5_pieces, p6_ids, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_languages, p3_found, p3_paragraphs, p4_found, p4_classes, p5_found, p5_pieces, p6_ids, p7_found, p7_passages, p8_found)}
 
 
 def oracle_sql() -> dict:

@@ -8,6 +8,8 @@ of the neighbouring tokens, their case, length, digits and script.
 The model is trained on reliable boundaries: dots that end a paragraph, paired with the first token of
 the next one. Dots within paragraphs are unlabelled, so the model estimates the chance of a reliable
 label, and a dot is a boundary where that chance is above a stated share of the reliable dots' mean.
+Other marks, Thai spaces and headings are decided by structure; lines that recur as headings are counted
+over all documents.
 
 Results: null and blank texts have no units; a text without any mark is one unit for each paragraph;
 positions count code points from 0; texts of any length are cut whole.
@@ -24,10 +26,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.llm import corpus
 from strataloom.llm.confusables import skeleton
 
-#: Largest number of texts the model is fitted on.
-SAMPLE = 3000
+#: Largest number of rows the model is fitted on; number of texts that make a line a known heading.
+SAMPLE, HEADINGS = 3000, 3
 #: A dot is a boundary where its chance of a reliable label is above this share of the reliable dots' mean.
 FRACTION = 0.045
 #: Occurrences from which a token counts as known.
@@ -38,11 +41,14 @@ UNITS = "array<struct<start_pos:int,end_pos:int>>"
 OPEN = {"(": ")", "（": "）", "[": "]", "【": "】", "“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‹": "›"}
 CLOSERS = "\"'”’»«“」』)\\]）】›"
 HARD = "。！？"
+_SIGNS = re.compile("[\"(（)）\\[\\]【】“”„«»「」『』‹›]")
 _CANDIDATE = re.compile(rf"[.．!?。！？…]+(?:[   ]?[»])?[{CLOSERS}]*(?:\[\d+(?:\s?[-–,，]\s?\d+)*\]|［\d+］)*")
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*|\r\n[^\S\n]*\r\n\s*|\r\r\s*")
 _TOKEN_BACK = re.compile(r"[^\s\"'“”„«»()\[\]（）]+$")
 _TOKEN = re.compile(r"[\"'“„«(\[¿¡（「]*(\d[\d.,]*|[^\W\d_]+|[^\s\w])")
 _HEADING = re.compile(r"^(?:#{1,6}\s*)?(?:\d{1,2}(?:\.\d{1,2})*[.、]?\s*|[IVX]{1,5}\.\s+|第?[一二三四五六七八九十]{1,3}[章节、.]\s*)?(\S.{0,58})$")
+# The same for built-in functions: a paragraph's first line, without its number.
+HEADING_LINE = r"(?:^|\n[^\S\n]*\n\s*|\r\n\s*\r\n\s*|\r\r\s*)(?:#{1,6}\s*)?(?:\d{1,2}(?:\.\d{1,2})*[.、]?\s*|[IVX]{1,5}\.\s+|第?[一二三四五六七八九十]{1,3}[章节、.]\s*)?([^\s\r\n][^\r\n]{0,58})(?=\r|\n|$)"
 _NUMBERED = re.compile(r"^(?:#{1,6}\s|\d{1,2}(?:\.\d{1,2})*[.、]?\s\s*\D|[IVX]{1,5}\.\s)")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])[ \t \n\r]+(?=[฀-๿])")
 _ENDS = re.compile(rf"[.．!?。！？…:：;；,，、][{CLOSERS}]*(?:\[\d+\])*$")
@@ -79,7 +85,9 @@ def _features(prev: str, nxt: str, known: frozenset[str]) -> list[int]:
 
 
 def _context(text: str, start: int, end: int, nxt_at: int) -> tuple[str, str]:
-    back = _TOKEN_BACK.search(text, max(0, start - 24), start)
+    reach = 24
+    while (back := _TOKEN_BACK.search(text, max(0, start - reach), start)) and 0 < back.start() == start - reach:
+        reach *= 2  # a longer token
     ahead = _TOKEN.match(text, nxt_at)
     return _plain(back.group() if back else ""), _plain(ahead.group(1) if ahead else "", True)
 
@@ -116,14 +124,18 @@ class Model:
         self.__init__(*state)
 
 
-def fit(texts: list[str], rounds: int = 100) -> Model:
+def heading_lines(text: Column) -> Column:
+    """First lines of a text's paragraphs that can be headings: short, without an end mark and a number."""
+    first = F.regexp_extract_all(text, F.lit(HEADING_LINE), 1)
+    return F.transform(F.filter(first, lambda x: ~x.rlike(r"[.．!?。！？…:：;；,，、][\"'”’»“」』)\]）】]*(?:\[\d+\])*\s*$")), lambda x: F.lower(F.trim(x)))
+
+
+def fit(texts: list[str], headings: frozenset[str] = frozenset(), rounds: int = 100) -> Model:
     """Maximum-entropy weights from reliable (paragraph-ending) and unlabelled dots of ``texts``."""
     pairs: list[tuple[str, str]] = []
     labels: list[int] = []
-    lines: Counter = Counter()
     for text in texts:
         paragraphs = [p.strip() for p in _BLANK_LINE.split(text) if p and p.strip()]
-        lines.update({m.group(1).strip().lower() for p in paragraphs for line in p.splitlines()[:1] if (m := _HEADING.match(line.strip())) and not _ENDS.search(line.strip())})
         for i, p in enumerate(paragraphs):
             for m in re.finditer(rf"[.．][{CLOSERS}]*(?:\[\d+\])*", p):
                 at = re.compile(r"\s*").match(p, m.end()).end()
@@ -141,7 +153,6 @@ def fit(texts: list[str], rounds: int = 100) -> Model:
                     continue
                 pairs.append((prev, nxt))
                 labels.append(int(last))
-    headings = frozenset(skeleton(t) for t, n in lines.items() if n >= 3)
     weights = np.zeros(WIDTH)
     often = Counter(t for prev, nxt in pairs for t in (prev.lower(), nxt))
     known = frozenset(t for t, n in often.items() if n >= OFTEN)
@@ -160,30 +171,34 @@ def fit(texts: list[str], rounds: int = 100) -> Model:
 
 
 def _spans(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """Outermost quotations and brackets of a paragraph, as (opening, behind closing)."""
+    """Outermost quotations and brackets of a paragraph, as (opening, behind closing).
+
+    A stack over the whole paragraph: a closing sign ends the last opening one it fits, and those opened
+    in between and never closed are dropped. Straight quotes, and guillemets that stand the other way
+    round, open where a blank precedes them.
+    """
     out: list[tuple[int, int]] = []
-    i = a
-    while i < b:
-        ch = text[i]
-        if ch == '"':
-            j = text.find('"', i + 1, b)
+    stack: list[tuple[str, int]] = []  # closing signs awaited, and where they were opened
+    for m in _SIGNS.finditer(text, a, b):
+        ch, i = m.group(), m.start()
+        fits = next((k for k in range(len(stack) - 1, -1, -1) if ch in stack[k][0]), -1)
+        before = text[i - 1] if i > a else " "
+        after = text[i + 1] if i + 1 < b else " "
+        if ch == '"' and fits >= 0 and before.isspace() and not after.isspace():
+            del stack[fits:]  # opens anew: the earlier one was never closed
+            fits = -1
+        if fits >= 0:
+            start = stack[fits][1]
+            del stack[fits:]
+            while out and out[-1][0] > start:
+                out.pop()
+            out.append((start, i + 1))
+        elif ch == "»" and before.isspace() and not after.isspace():
+            stack.append(("«", i))
         elif ch in OPEN:
-            close = OPEN[ch]
-            j = min((k for c in close if (k := text.find(c, i + 1, b)) > 0), default=-1)
-            if ch in "([（" and j > 0:  # nested brackets
-                depth, k = 1, i + 1
-                while k < b and depth:
-                    depth += (text[k] == ch) - (text[k] == close)
-                    k += 1
-                j = k - 1 if not depth else -1
-        else:
-            i += 1
-            continue
-        if j > 0 and j - i <= 600:
-            out.append((i, j + 1))
-            i = j + 1
-        else:
-            i += 1
+            stack.append((OPEN[ch], i))
+        elif ch == '"':
+            stack.append((ch, i))
     return out
 
 
@@ -306,9 +321,10 @@ def _sentences(text: str, a: int, b: int, model: Model, cuts: list[int]) -> None
 
 
 def fit_on(df: DataFrame, *columns: str, limit: int = SAMPLE) -> Model:
-    """The model fitted on the texts of at most ``limit`` rows; cutting afterwards covers all rows."""
-    rows = df.select(*columns).limit(limit).collect()
-    return fit([v for r in rows for v in r if v])
+    """The model fitted on the texts of at most ``limit`` rows; headings are counted over all rows."""
+    known = corpus.recurring(df, list(columns), heading_lines(F.col("text")), HEADINGS)
+    rows = corpus.sampled(df, limit, *columns)
+    return fit([v for r in rows for v in r if v], frozenset(map(skeleton, known)))
 
 
 def cut(text: Column, model: Model) -> Column:

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.llm import confusables, languages, leaks, queries, scans, sentences, split, stuffing, tokenize
+from strataloom.llm import confusables, corpus, languages, leaks, queries, scans, sentences, split, stuffing, tokenize
 from strataloom.session import table
 
 DIRTY = "doc_id long, id string, source string, lang string, language string, title string, abstract_text string, content_text string, text string, value string, doc string, item string, host string, u string"
@@ -43,7 +43,7 @@ def run_all(spark, df):
         "pairs": confusables.look_alike_pairs(df, ["title", "content_text"]).collect(),
         "classes": confusables.classes(df, ["title", "content_text"]).collect(),
         "pieces": split.pieces(df, profiles(spark)).collect(),
-        "ids": tokenize.encode_documents(df.where("doc_id <> 5")).collect(),
+        "ids": tokenize.encode_documents(df).collect(),
         "leaks": leaks.find_leaks(df, items).collect(),
         "stuffed": stuffing.stuffed_pages(df).collect(),
     }
@@ -53,7 +53,7 @@ def test_dirty_rows(spark):
     got = run_all(spark, dirty(spark))
     assert {r.doc_id for r in got["units"]} == {4, 5}
     assert {r.doc_id for r in got["languages"]} == {4, 5}
-    assert [tuple(r) for r in got["leaks"]] == [(4, 7)]
+    assert [tuple(r) for r in got["leaks"]] == [(4, 7, True)]
     assert got["pairs"] == [] and all(r.forms == 1 for r in got["classes"])
     ids = {r.doc_id: r.ids for r in got["ids"]}
     assert ids[1] == [] and ids[2] == [] and len(ids[3]) > 0 and len(ids[4]) > 10_000
@@ -89,6 +89,21 @@ def test_sentence_boundaries(cutter):
     assert cut("1.2. Introduction\nThe value\nrose. They agreed.\n\nEnd", cutter) == ["1.2. Introduction", "The value\nrose.", "They agreed.", "End"]
 
 
+def test_long_quotations_are_whole(cutter):
+    for quoted in ("Nothing rose. Was it so? Yes! " * n for n in (20, 45, 200)):
+        text = f"Ada wrote “{quoted.strip()}” and left. They agreed."
+        assert cut(text, cutter) == [text[: -len(" They agreed.")], "They agreed."]
+    assert cut("An “open quotation. It never closes. “So it is. Or not.” They agreed.", cutter)[1:] == ["It never closes.", "“So it is. Or not.”", "They agreed."]
+    assert cut("See www." + "x" * 60 + ".example. They agreed.", cutter)[-1] == "They agreed."
+
+
+def test_recurring_lines(spark):
+    rows = [(i, "Findings\n\nThe value rose.") for i in range(50)] + [(i, f"Own words\n\nThe value {i} rose.") for i in range(50, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, abstract_text string")
+    assert corpus.recurring(df, ["abstract_text"], sentences.heading_lines(F.col("text")), 3) == {"own words"}
+    assert len(corpus.sampled(df, 20, "doc_id")) <= 20 and len(corpus.sampled(df, 100, "doc_id")) == 60
+
+
 def test_units_cover_all_text(cutter):
     rng = random.Random(3)
     for _ in range(300):
@@ -141,6 +156,17 @@ def test_scanned_page(spark):
     assert "ready for the second set of regions" in text and "Annals" not in text
 
 
+def test_long_header_lines_and_words(spark):
+    name = "Transactions of the Society for the Long Names of Journals That Fill More Than a Line"
+    word = "electroencephalographically" * 2
+    rows = [(i, "t", None, f"The drift {i} of the flow was small in all of the\n{name}  Vol. {i}\nregions of the set and of the other sets that we") for i in range(5)]
+    rows += [(9, "t", None, f"The drift 9 of the flow was small in all of the\n{name}\nregions of the set and of the " + word.replace("e", "c", 1) + "\nsets that we saw.")]
+    rows += [(i, "t", None, f"{i} The {word} rose.") for i in range(20, 50)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, abstract_text string, content_text string")
+    got = {(r.doc_id, r.damage, r.reading) for r in scans.scan_traces(df).collect()}
+    assert {(9, "header", name), (9, "glyph", word)} <= got and all((i, "header", f"{name}  Vol. {i}") in got for i in range(5))
+
+
 def test_readings_are_written_into_both_fields(spark):
     page = "The hybrid flow solver lowers the error in all of the\nregions of the first set. The multi-\nscale model was ready for the second\nset of regions which vvere used here with\nthe sarne result as before.\n\n本次实验的时问很短，\n结果仍然可靠。"
     clean = "The sets were used with the same result by a multi-scale model. 本次实验的时间很短。"
@@ -206,8 +232,8 @@ def test_pieces(unit):
         size, over = rng.choice([(20, 0), (20, 7), (50, 12)])
         sizes = split.Sizes(t, unit)
         got = split.split_text(t, size, over, unit)
-        assert "".join(t[a + shared : b] for _, a, b, shared, _ in got) == t
-        assert all(sizes.of(a, b) <= size for _, a, b, _, _ in got)
+        assert "".join(t[a + shared : b] for _, a, b, shared, *_ in got) == t
+        assert all(sizes.of(a, b) <= size for _, a, b, *_ in got)
         if unit == "chars":
             assert all(p[3] == over for p in got[1:])
         else:
@@ -216,17 +242,33 @@ def test_pieces(unit):
 
 def test_natural_boundaries():
     t = "One two three. Four five six. Seven eight nine."
-    assert [t[a:b] for _, a, b, _, _ in split.split_text(t, 20, 0)] == ["One two three. ", "Four five six. ", "Seven eight nine."]
+    assert [t[a:b] for _, a, b, *_ in split.split_text(t, 20, 0)] == ["One two three. ", "Four five six. ", "Seven eight nine."]
     with pytest.raises(ValueError):
         split.split_text(t, 5, 5)
 
 
 def test_forced(spark):
     df = spark.createDataFrame([(1, "x" * 101), (2, "x" * 60 + " " + "y" * 60), (3, "x" * 100), (4, None)], "doc_id long, content_text string")
-    got = {(r.doc_id, r.profile_id): r.longest_run > r.max_size for r in split.split_items(df, profiles(spark)).collect()}
+    cut = split.split_items(df, profiles(spark))
+    got = {(r.doc_id, r.profile_id): r.forced for r in cut.select("doc_id", "profile_id", split.forced_cut().alias("forced")).collect()}
     assert got == {(1, 1): True, (1, 2): True, (2, 1): False, (2, 2): False, (3, 2): True}
 
 
+def test_forced_cuts_against_the_longest_run():
+    rng = random.Random(8)
+    for _ in range(400):
+        t = "".join(rng.choice("abcdefgh\"’é漢 .\n") for _ in range(rng.randrange(200)))
+        size, over, unit = rng.choice([(20, 0, "chars"), (20, 7, "chars"), (30, 12, "bytes")])
+        longest = max((len(x.encode()) if unit == "bytes" else len(x) for x in split.RUN.findall(t)), default=0)
+        assert any(p[5] > size for p in split.split_text(t, size, over, unit)) == (longest > size)
+
+
+def test_many_profiles_are_cut_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(split, "PROFILES_AT_ONCE", 1)
+    df = spark.createDataFrame([(1, "x" * 101)], "doc_id long, content_text string")
+    assert {r.profile_id for r in split.split_items(df, profiles(spark)).collect()} == {1, 2}
+
+
 # Problem 6
 
 
@@ -258,7 +300,7 @@ def test_leaks_against_brute_force(spark, data):
             n = 30 if lang in ("zh", "ja") else 60
             if any(x[i : i + n] in t for i in range(len(x) - n + 1)):
                 want.add((r.doc_id, item))
-    assert {tuple(r) for r in leaks.find_leaks(docs, items).collect()} == want and want
+    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs, items).where("exact").collect()} == want and want
 
 
 def test_planted_leaks():
@@ -268,8 +310,55 @@ def test_planted_leaks():
     for _ in range(50):
         a = rng.randrange(240)
         noise = lambda n: "".join(rng.choice("klmnopqrst") for _ in range(n))
-        assert list(index.search([noise(200) + item[a : a + 60] + noise(200)])) == [(0, 1)]
-        assert list(index.search([noise(200) + item[a : a + 59] + noise(200)])) == []
+        assert list(index.search([noise(200) + item[a : a + 60] + noise(200)])) == [(0, 1, True)]
+        assert list(index.search([noise(200) + item[a : a + 59] + noise(200)])) in ([], [(0, 1, False)])
+        assert list(index.search([noise(200) + item[a : a + 40] + noise(200)])) == []
+
+
+def edited(text, every, rng):
+    out, at = list(text), rng.randrange(every)
+    while at < len(out):
+        kind = rng.randrange(3)
+        out[at : at + (kind != 1)] = [] if kind == 2 else [rng.choice("klmnop")]
+        at += every
+    return "".join(out)
+
+
+def distance_to_window(item, length, text):
+    """Least edit distance of any window of the item from any part of the text, by brute force."""
+    best = length
+    for j in range(len(item) - length + 1):
+        row = [0] * (len(text) + 1)
+        for x in range(1, length + 1):
+            last, row = row, [x]
+            for y in range(1, len(text) + 1):
+                row.append(min(last[y - 1] + (item[j + x - 1] != text[y - 1]), last[y] + 1, row[y - 1] + 1))
+        best = min(best, *row)
+    return best
+
+
+@pytest.mark.parametrize("every", [55, 40, 30])
+def test_recall_of_edited_passages(every):
+    rng = random.Random(every)
+    items = [(k, "en", "".join(rng.choice("etaoinshrdlucm") for _ in range(360))) for k in range(30)]
+    index = leaks.Index(items)
+    noise = "".join(rng.choice("klmnopqrst") for _ in range(300))
+    found = sum(k in {i for _, i, _ in index.search([noise + edited(text[a : a + 130], every, rng) + noise])} for k, _, text in items for a in (0, 100, 220))
+    assert found >= 0.9 * 90
+
+
+def test_edited_passages_against_brute_force():
+    rng = random.Random(11)
+    item = "".join(rng.choice("etaoinshr") for _ in range(64))
+    index = leaks.Index([(1, "en", item)])
+    found = true = 0
+    for n in range(40):
+        text = edited(item, rng.choice([9, 14, 22, 40]), rng)
+        near = distance_to_window(item, 60, text) <= index.parts[0][0].max_edits
+        got = bool(list(index.search([text])))
+        assert near or not got
+        found, true = found + got, true + near
+    assert true >= 5 and found >= 0.9 * true
 
 
 def test_long_texts_are_searched_in_parts(monkeypatch):
@@ -282,7 +371,7 @@ def test_long_texts_are_searched_in_parts(monkeypatch):
     texts = [t[: len(t) // 2] + (item[i : i + 60] if i % 2 else item[i : i + 59]) + t[len(t) // 2 :] for i, t in enumerate(texts)]
     search = leaks._searcher(leaks.Index([(1, "en", item)]))
     got = pd.concat(search(iter([pd.DataFrame({"doc": range(60), "text": texts})])))
-    assert got["doc_id"].tolist() == [i for i in range(60) if i % 2]
+    assert got[got["exact"]]["doc_id"].tolist() == [i for i in range(60) if i % 2]
 
 
 # Problem 8
@@ -302,6 +391,22 @@ def test_stuffed_pages(spark):
     assert {r.doc_id for r in got.collect()} == {1, 2, 3}
 
 
+def test_replication_decides(spark):
+    names = ["amber", "basalt", "cedar", "dune", "ember", "fjord", "grove", "heath", "islet", "jetty", "knoll", "lagoon", "mesa", "nadir", "ocean", "plain", "quay", "ridge", "shoal", "tarn"]
+    alone = ", ".join(f"{a} {b}" for a, b in zip(names, names[7:] + names[:7]))
+    shared = ", ".join(f"cheap {a} kit" for a in names)
+    prose = "We measured the drift of the filter in all regions of the set. The error fell by a third, although the sample of the station was small and the wind was not."
+    rows = [(1, "a", alone), (2, "a", shared), (3, "b", shared + ", more"), (4, "c", "other, " + shared), (5, "a", prose), (6, "b", prose), (7, "c", prose)]
+    assert {r.doc_id for r in stuffing.stuffed_pages(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()} == {2, 3, 4}
+
+
+def test_lists_in_thai_and_keyword_lines(spark):
+    thai = ", ".join(["รับแปลเอกสาร", "ชุดทดสอบดิน", "พิมพ์วิทยานิพนธ์", "เครื่องบันทึกข้อมูล", "รับแปลเอกสารด่วน"] * 4)
+    line = "Keywords: " + "; ".join(["cheap lab coat", "best soil test kit", "buy data logger", "lab coat online"] * 5)
+    rows = [(1, "a", thai), (2, "b", line), (3, "c", "การศึกษานี้พบว่าอุณหภูมิสูงขึ้น นอกจากนี้ยังไม่พบความสัมพันธ์กับลม และความชื้นก็ลดลงในทุกพื้นที่")]
+    assert {r.doc_id for r in stuffing.stuffed_pages(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()} == {1, 2}
+
+
 def test_queries_have_the_stated_columns(spark, data):
     want = {
         "p1_found": ["doc_id", "field_name", "start_pos", "end_pos"], "p2_found": ["doc_id", "seg_no", "language"], "p3_found": ["doc_id", "field_name", "damage", "reading"], "p4_found": ["field_name", "doc_a", "doc_b"],
