@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,21 +20,24 @@ def local_session(cores: int | str = 8, app: str = "strataloom", memory: str = "
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder that ``spark.checkpoint.dir`` names. Only a local session, as in tests, gets a
+    temporary one where none is set; a cluster without a shared folder is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(named)
-        return named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "strataloom-checkpoint"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return named or sc._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), "strataloom-checkpoint")
+    sc.setCheckpointDir(named)
+    return named
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
