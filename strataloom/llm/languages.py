@@ -2,9 +2,10 @@
 
 Bayesian fusion of evidence. Text likelihoods come from a unigram model over Latin-script words and
 script classes, fitted on a bounded sample with the stored labels and refitted on its own sentence
-labels, which removes wrong ones. They are combined with the declared label and the collector's tag
-(as noisy observations) and with a prior of the host (``source``), counted by a grouped aggregate
-over all documents and smoothed towards the counts of all hosts. Sentences are labelled together by
+labels, which removes wrong ones. They are combined with the declared label, the collector's tag and
+the language declared in markup (as noisy observations), with evidence of the address suffix, and with a
+prior of the host (``source``). Priors are counted by grouped aggregates over all documents and smoothed
+hierarchically: all hosts, the hosts of one site, the host. Sentences are labelled together by
 a Viterbi pass that makes a change of language cost something, so that foreign words or names within
 a sentence make no run.
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm import sentences
+from strataloom.llm import corpus, sentences
 from strataloom.llm.confusables import skeleton
 from strataloom.session import checkpoint_dir
 
@@ -35,9 +36,11 @@ NAMES = {
     "ko": "ko kor korean 한국어 韩语", "th": "th tha thai ไทย ภาษาไทย",
 }
 LABELS = {name: code for code, names in NAMES.items() for name in names.split()}
-#: Largest number of rows the text model is fitted on; strength of the prior of all hosts; cost of a
-#: change of language between sentences; chance that a label or tag is right.
+#: Largest number of rows the text model is fitted on; strength of the prior of the level above (in
+#: documents); cost of a change of language between sentences; chance that a label or tag is right.
 SAMPLE, STRENGTH, CHANGE, RIGHT = 4000, 50.0, 4.0, 0.85
+#: Rows of one host are spread over so many keys when the priors are joined.
+SALTS = 16
 SEGMENTS = "array<struct<seg_no:int,start_pos:int,end_pos:int,language:string,confidence:double>>"
 _TOKEN = re.compile(r"[a-zß-ɏ]+(?:['’][a-zß-ɏ]+)?|[Ѐ-ԯ]+|[가-힯]|[฀-๿]+|[぀-ヿㇰ-ㇿ]|[㐀-鿿]")
 _THAI_SWITCH = re.compile(r"(?<=[฀-๿])\s+(?=[^฀-๿]{24})|(?<=[^฀-๿]{24})\s+(?=[฀-๿])")
@@ -50,6 +53,20 @@ def canonical(label: Column) -> Column:
     return F.try_element_at(table, base)
 
 
+def markup_language(markup: Column) -> Column:
+    """Language code that the first ``lang`` attribute of a page's root or body declares, null without one."""
+    return canonical(F.regexp_extract(markup, r"(?is)<(?:html|body|article)\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?([\w-]+)", 1))
+
+
+def host_parts(host: Column) -> tuple[Column, Column]:
+    """Site and address suffix of a host: ``a.b.example.de`` gives ``example.de`` and ``de``, a name
+    without dots (``site-portal``) its first and its last part."""
+    dotted = F.regexp_extract(host, r"([^./]+\.[^./]+)(?:[/:].*)?$", 1)
+    plain = F.regexp_replace(host, r"^\w+://|[/:].*$", "")
+    site = F.when(host.contains("."), dotted).otherwise(F.regexp_extract(plain, r"^([^-]*)", 1))
+    return site, F.regexp_extract(plain, r"([^-.]*)$", 1)
+
+
 def _tokens(text: str) -> list[str]:
     """Words of Latin script, script classes of all other characters."""
     if not text.isascii():
@@ -172,13 +189,13 @@ def _observed(code: str | None) -> np.ndarray:
     return out
 
 
-def segment(starts, ends, scores, declared, tag, prior) -> list[tuple[int, int, int, str, float]]:
+def segment(starts, ends, scores, declared, tag, prior, markup=None) -> list[tuple[int, int, int, str, float]]:
     """Maximal runs of sentences of one language with their mean posterior."""
     n, k = len(starts), len(LANGUAGES)
     if not n:
         return []
     emit = np.asarray(scores, float).reshape(n, k)
-    base = _observed(declared) + _observed(tag) + np.log(np.asarray(prior, float))
+    base = _observed(declared) + _observed(tag) + _observed(markup) + np.log(np.asarray(prior, float))
     empty = ~emit.any(1)
     best = emit[0] + base
     back = np.zeros((n, k), int)
@@ -210,40 +227,65 @@ def segment(starts, ends, scores, declared, tag, prior) -> list[tuple[int, int,
 def host_priors(found: DataFrame, host_col: str = "host") -> DataFrame:
     """Smoothed shares of the languages for each host, as an array in the order of LANGUAGES.
 
-    Two grouped aggregates over all documents: counts by host, and counts of all hosts to which a
-    host's counts are smoothed with a fixed strength, so that a small host leans on the rest.
+    Counts by host, by site and by address suffix are grouped aggregates (the last two of the first). The
+    shares of all hosts smooth a site's, and a site's smooth a host's, with a fixed strength, so that a
+    small host leans on its site. The suffix counts as evidence beside the host: its smoothed shares
+    relative to those of all hosts.
     """
-    counts = [F.count_if(F.col("best") == x).alias(f"n_{x}") for x in LANGUAGES]
-    by_host = found.groupBy(host_col).agg(*counts)
-    everywhere = by_host.agg(*(F.sum(f"n_{x}").alias(f"a_{x}") for x in LANGUAGES))
-    total = sum((F.col(f"a_{x}") for x in LANGUAGES[1:]), F.col(f"a_{LANGUAGES[0]}")) + len(LANGUAGES)
-    own = sum((F.col(f"n_{x}") for x in LANGUAGES[1:]), F.col(f"n_{LANGUAGES[0]}"))
-    share = [(F.col(f"n_{x}") + STRENGTH * (F.col(f"a_{x}") + 1) / total) / (own + STRENGTH) for x in LANGUAGES]
-    return by_host.join(F.broadcast(everywhere)).select(host_col, F.array(*share).alias("prior"))  # one row
+    n = len(LANGUAGES)
+    by_host = found.groupBy(host_col).agg(F.array(*(F.count_if(F.col("best") == x) for x in LANGUAGES)).alias("own"))
+    site, suffix = host_parts(F.col(host_col))
+    by_host = by_host.select(host_col, "own", site.alias("site"), suffix.alias("suffix"))
+    added = F.array(*(F.sum(F.col("own")[i]) for i in range(n)))
+    everywhere = by_host.agg(added.alias("counts"))
+    by_site = by_host.groupBy("site").agg(added.alias("of_site"))
+    by_suffix = by_host.groupBy("suffix").agg(added.alias("of_suffix"))
+
+    def total(counts: Column) -> Column:
+        return F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+
+    def smoothed(counts: str, above: str) -> Column:
+        return F.transform(counts, lambda x, i: (x + STRENGTH * F.get(above, i)) / (total(F.col(counts)) + STRENGTH))
+
+    all_shares = everywhere.select(F.transform("counts", lambda x: (x + 1) / (total(F.col("counts")) + n)).alias("p_all"))
+    rows = by_host.join(by_site, "site").join(by_suffix, "suffix").join(F.broadcast(all_shares))  # one row
+    rows = rows.withColumn("p_site", smoothed("of_site", "p_all")).withColumn("p_suffix", smoothed("of_suffix", "p_all"))
+    rows = rows.withColumn("p_host", smoothed("own", "p_site"))
+    fused = F.transform("p_host", lambda p, i: p * F.get("p_suffix", i) / F.get("p_all", i))
+    return rows.withColumn("fused", fused).select(host_col, F.transform("fused", lambda x: x / total(F.col("fused"))).alias("prior"))
 
 
 def fitted(df: DataFrame, text_col: str, label_col: str) -> tuple[TextModel, sentences.Model]:
     """The text model and the sentence model, both fitted on the same bounded sample."""
-    rows = df.where(F.length(text_col) > 0).select(text_col, canonical(F.col(label_col)).alias("code")).limit(SAMPLE).collect()
-    cutter = sentences.fit([r[0] for r in rows])
+    rows = corpus.sampled(df, SAMPLE, text_col, canonical(F.col(label_col)).alias("code"), where=F.length(text_col) > 0)
+    headings = corpus.recurring(df, [text_col], sentences.heading_lines(F.col("text")), sentences.HEADINGS)
+    cutter = sentences.fit([r[0] for r in rows], frozenset(map(skeleton, headings)))
     return fit([(r[0], r[1]) for r in rows if r[1]], cutter), cutter
 
 
-def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "abstract_text", label_col: str = "language", tag_col: str = "lang", host_col: str = "source") -> DataFrame:
-    """One row for each document with a text: its declared code and its segments, in order."""
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "abstract_text", label_col: str = "language", tag_col: str = "lang", host_col: str = "source", markup_col: str | None = None) -> DataFrame:
+    """One row for each document with a text: its declared code and its segments, in order.
+    ``markup_col`` names a column with the page's markup, where there is one."""
     model, cutter = fitted(df, text_col, label_col)
     checkpoint_dir(df.sparkSession)
     rows = df.where(F.length(F.trim(text_col)) > 0)
     found = rows.select(
-        F.col(id_col).alias("doc"), F.coalesce(F.col(host_col), F.lit("")).alias("host"), canonical(F.col(label_col)).alias("declared"), canonical(F.col(tag_col)).alias("tag"), evidence(F.col(text_col), model, cutter).alias("e")
-    ).select("doc", "host", "declared", "tag", "e.*")
+        F.col(id_col).alias("doc"),
+        F.coalesce(F.col(host_col), F.lit("")).alias("host"),
+        canonical(F.col(label_col)).alias("declared"),
+        canonical(F.col(tag_col)).alias("tag"),
+        (markup_language(F.col(markup_col)) if markup_col else F.lit(None).cast("string")).alias("markup"),
+        evidence(F.col(text_col), model, cutter).alias("e"),
+    ).select("doc", "host", "declared", "tag", "markup", "e.*")
     found = found.where(F.size("starts") > 0).checkpoint()  # read by the priors and by the labelling
 
-    def run(starts: pd.Series, ends: pd.Series, scores: pd.Series, declared: pd.Series, tag: pd.Series, prior: pd.Series) -> pd.Series:
-        return pd.Series([segment(*row) for row in zip(starts, ends, scores, declared, tag, prior)])
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series([segment(*row) for row in zip(*columns)])
 
-    with_prior = found.join(host_priors(found), "host")
-    segments = F.pandas_udf(run, SEGMENTS)("starts", "ends", "scores", "declared", "tag", "prior")
+    # A host of a third of all documents is one key of the join, so its rows are spread over SALTS keys.
+    priors = host_priors(found).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    with_prior = found.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(priors, ["host", "salt"])
+    segments = F.pandas_udf(run, SEGMENTS)("starts", "ends", "scores", "declared", "tag", "prior", "markup")
     return with_prior.select(F.col("doc").alias(id_col), "declared", segments.alias("segments"))
 
 

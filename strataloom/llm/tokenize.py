@@ -22,6 +22,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.llm import corpus
 from strataloom.session import spread
 
 #: Where the vocabulary files lie; a parameter of every function here.
@@ -193,11 +194,9 @@ def _fold_short(tables: Column, unit: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.char_length(unit)), start, step, lambda q: F.transform(q, lambda x: x.bitwiseAND(65535)))
 
 
-def _encode_unit(tables: Column, unit: Column) -> Column:
-    """Ids of one unit: one lookup if it is an entry or remembered, otherwise the fold of ranked merges."""
-    folded = F.when(F.char_length(unit) <= LONG, _fold_short(tables, unit)).otherwise(_fold_long(tables["ranks"], unit))
-    looked_up = lambda r: F.when(r.isNull(), folded).when(r >= 0, F.array(r)).otherwise(F.element_at(tables["memo"], (-r).cast("int")))
-    return _let(_rank(tables["ranks"], unit), looked_up)
+def _fold(tables: Column, unit: Column) -> Column:
+    """Ids of a unit that is no entry, by the fold of ranked merges."""
+    return F.when(F.char_length(unit) <= LONG, _fold_short(tables, unit)).otherwise(_fold_long(tables["ranks"], unit))
 
 
 def units(text: Column, path: str = TOKENIZERS, name: str = "byte_bpe_50k") -> Column:
@@ -232,30 +231,39 @@ def remembered(df: DataFrame, text_col: str = "text", path: str = TOKENIZERS, na
     The sample comes to the driver (at most ``SAMPLE`` texts of ``SHORT`` characters), as a limit
     within a plan would move rows of every partition into one task.
     """
-    rows = df.select(text_col).where(F.char_length(text_col) <= SHORT).limit(SAMPLE).collect()
+    rows = corpus.sampled(df, SAMPLE, text_col, where=F.char_length(text_col) <= SHORT)
     if not rows:
         return {}
     sample = df.sparkSession.createDataFrame([(r[0],) for r in rows], "t string")
     u = spread(sample).select(F.explode(F.array_distinct(units(F.col("t"), path, name))).alias("u"))
     often = u.where(F.char_length("u") <= 64).groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
     t = _tables(path, name, {})
-    coded = often.select("u", "n", _let(t, lambda t: _encode_unit(t, F.col("u"))).alias("ids")).where(F.size("ids") > 1)
+    coded = often.select("u", "n", _let(t, lambda t: F.when(_rank(t["ranks"], F.col("u")).isNull(), _fold(t, F.col("u")))).alias("ids")).where(F.size("ids") > 1)
     return {r.u: r.ids for r in coded.orderBy(F.desc("n"), "u").limit(REMEMBERED).collect()}
 
 
 def encode(text: Column, path: str = TOKENIZERS, name: str = "byte_bpe_50k", memo: dict[str, list[int]] | None = None) -> Column:
-    """Token ids (array<int>) of ``text`` by the named byte-level BPE vocabulary."""
+    """Token ids (array<int>) of ``text`` by the named byte-level BPE vocabulary.
+
+    Units that are entries or remembered cost one lookup each; the distinct others of a slice are folded once.
+    """
+    none = F.array().cast("array<bigint>")
 
     def encode_slice(tables: Column, part: Column) -> Column:
-        distinct = F.array_distinct(part)
-        return _let(
-            F.map_from_arrays(distinct, F.transform(distinct, lambda u: _encode_unit(tables, u))),
-            lambda known: F.flatten(F.transform(part, lambda u: F.element_at(known, u))),
-        )
+        def put_together(looked: Column) -> Column:
+            other = F.array_distinct(F.filter(part, lambda u, i: F.get(looked, i).isNull()))
+
+            def one(other: Column, folded: Column, r: Column, i: Column) -> Column:
+                own = F.element_at(folded, F.array_position(other, F.get(part, i)).cast("int"))
+                return F.when(r.isNull(), own).when(r >= 0, F.array(r)).otherwise(F.element_at(tables["memo"], (-r).cast("int")))
+
+            return _let(other, lambda o: _let(F.transform(o, lambda u: _fold(tables, u)), lambda f: F.flatten(F.transform(looked, lambda r, i: one(o, f, r, i)))))
+
+        return _let(F.transform(part, lambda u: _rank(tables["ranks"], u)), put_together)
 
     def encode_all(tables: Column, u: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(u), F.lit(SLICE))
-        return F.when(F.size(u) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(F.transform(starts, lambda s: encode_slice(tables, F.slice(u, s, F.lit(SLICE))))))
+        return F.when(F.size(u) == 0, none).otherwise(F.flatten(F.transform(starts, lambda s: _let(F.slice(u, s, F.lit(SLICE)), lambda part: encode_slice(tables, part)))))
 
     return _let(_tables(path, name, memo or {}), lambda t: _let(units(text, path, name), lambda u: encode_all(t, u))).cast("array<int>")
 

@@ -133,6 +133,24 @@ def test_held_out_languages(spark, data):
     assert all(0 <= r.confidence <= 1 for r in rows)
 
 
+def test_priors_lean_on_site_and_suffix(spark):
+    rows = [("reef-papers", "de")] * 300 + [("reef-portal", "en")] * 2 + [("quarry-papers", "ko")] * 300 + [("www.a.example.de", "de")] * 40 + [("www.b.other.de", "fr")] * 1
+    priors = {r.host: dict(zip(languages.LANGUAGES, r.prior)) for r in languages.host_priors(spark.createDataFrame(rows, "host string, best string")).collect()}
+    assert all(abs(sum(p.values()) - 1) < 1e-9 for p in priors.values())
+    assert priors["reef-portal"]["de"] > priors["reef-portal"]["en"] > priors["reef-portal"]["th"]  # of its site
+    assert priors["www.b.other.de"]["de"] > 2 * priors["www.b.other.de"]["ko"]  # of its suffix
+    parts = spark.createDataFrame([("http://www.a.example.de:80/x",), ("reef-portal",), ("one",), ("",)], "h string").select(*languages.host_parts(F.col("h"))).collect()
+    assert [tuple(r) for r in parts] == [("example.de", "de"), ("reef", "portal"), ("one", "one"), ("", "")]
+
+
+def test_markup_language(spark):
+    pages = ['<!doctype html><html class="x" lang="pt-BR"><p>', "<html xml:lang=de>", "<html>lang=fr", None, "<body data-lang='fr'>"]
+    assert [r[0] for r in spark.createDataFrame([(p,) for p in pages], "m string").select(languages.markup_language(F.col("m"))).collect()] == ["pt", "de", None, None, None]
+    df = spark.createDataFrame([(1, "s", None, None, "12,5", pages[0])], "doc_id long, source string, lang string, language string, abstract_text string, text string")
+    got = languages.identify(df, markup_col="text").select(F.inline("segments")).collect()
+    assert [r.language for r in got] == ["pt"]
+
+
 def test_runs():
     n = len(languages.LANGUAGES)
     e = [0.0] * n
