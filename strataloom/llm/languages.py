@@ -61,9 +61,8 @@ def markup_language(markup: Column) -> Column:
 def host_parts(host: Column) -> tuple[Column, Column]:
     """Site and address suffix of a host: ``a.b.example.de`` gives ``example.de`` and ``de``, a name
     without dots (``site-portal``) its first and its last part."""
-    dotted = F.regexp_extract(host, r"([^./]+\.[^./]+)(?:[/:].*)?$", 1)
     plain = F.regexp_replace(host, r"^\w+://|[/:].*$", "")
-    site = F.when(host.contains("."), dotted).otherwise(F.regexp_extract(plain, r"^([^-]*)", 1))
+    site = F.when(plain.contains("."), F.regexp_extract(plain, r"([^.]+\.[^.]+)$", 1)).otherwise(F.regexp_extract(plain, r"^([^-]*)", 1))
     return site, F.regexp_extract(plain, r"([^-.]*)$", 1)
 
 
