@@ -45,9 +45,9 @@ def looks_english(text: Column) -> Column:
 
 
 def language_gate(text: Column) -> Column:
-    """zh above 20 Chinese characters; short texts pass; otherwise English or other Latin text."""
+    """Texts of fewer than 30 letters pass; zh above 20 Chinese characters; otherwise English or other Latin text."""
     han, effective = cjk_count(text), count(text, r"[A-Za-z\x{c0}-\x{24f}\x{4e00}-\x{9fff}]")
-    return F.when(han > 20, "zh").when(effective < 30, "pass").when(looks_english(text), "en").otherwise("non_english")
+    return F.when(effective < 30, "pass").when(han > 20, "zh").when(looks_english(text), "en").otherwise("non_english")
 
 
 def detect_by_ratio(text: Column) -> Column:

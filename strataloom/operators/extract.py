@@ -67,8 +67,8 @@ QUESTIONS_SQL = (
 )
 
 
-def scan_lexicon(docs: DataFrame, col: str, lexicon: tuple[tuple[str, str], ...]) -> DataFrame:
-    """First occurrence of every lexicon term in a text that no longer found term covers.
+def lexicon_spans(docs: DataFrame, col: str, lexicon: tuple[tuple[str, str], ...]) -> DataFrame:
+    """Rows (doc_id, text, spans): first occurrence of every lexicon term in a text that no longer found term covers.
 
     Latin terms match whole words, others anywhere; case is ignored. The lexicon is part of the
     expression, so the scan needs no join.
@@ -79,9 +79,14 @@ def scan_lexicon(docs: DataFrame, col: str, lexicon: tuple[tuple[str, str], ...]
         pattern = rf"(?<![a-z0-9]){term}(?![a-z0-9])" if term.isascii() else term
         at = F.regexp_instr(low, F.lit(pattern)) - 1
         found.append(F.when(at >= 0, F.struct(at.alias("start_pos"), (at + len(term)).alias("end_pos"), F.lit(term).alias("entity"), F.lit(kind).alias("type"))))
-    rows = docs.select("doc_id", F.filter(F.array(*found), lambda x: x.isNotNull()).alias("spans")).where(F.size("spans") > 0)
+    rows = docs.select("doc_id", col, F.filter(F.array(*found), lambda x: x.isNotNull()).alias("spans")).where(F.size("spans") > 0)
     longer = lambda x, y: (y["start_pos"] <= x["start_pos"]) & (y["end_pos"] >= x["end_pos"]) & (y["end_pos"] - y["start_pos"] > x["end_pos"] - x["start_pos"])
-    return rows.select("doc_id", F.inline(F.filter("spans", lambda x: ~F.exists("spans", lambda y: longer(x, y)))))
+    return rows.withColumn("spans", F.filter("spans", lambda x: ~F.exists("spans", lambda y: longer(x, y))))
+
+
+def scan_lexicon(docs: DataFrame, col: str, lexicon: tuple[tuple[str, str], ...]) -> DataFrame:
+    """The spans of ``lexicon_spans``, one row each."""
+    return lexicon_spans(docs, col, lexicon).select("doc_id", F.inline("spans"))
 
 
 def _lexicon_values() -> str:
@@ -106,24 +111,22 @@ def entity_summary(spans: DataFrame) -> DataFrame:
 ENTITIES_SQL = _SPANS + ", b AS (SELECT doc_id, type, count(DISTINCT entity) AS n, min(start_pos) AS first FROM spans GROUP BY ALL) SELECT doc_id, sum(n)::BIGINT AS entities, count(*) AS types, arg_max(type, {'a': n, 'b': -first, 'c': type}) AS dominant FROM b GROUP BY doc_id"
 
 
-def spans_in_sentences(spans: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Range join within a document: how many entity terms each sentence holds."""
-    joined = sentences.alias("s").join(spans.alias("e"), (F.col("s.doc_id") == F.col("e.doc_id")) & F.contains(F.lower("s.sentence"), F.col("e.entity")))
-    return joined.groupBy(F.col("s.doc_id").alias("doc_id"), F.col("s.idx").alias("idx")).agg(F.count("*").alias("entities"))
-
-
-INTERVAL_SQL = _SPANS + ", s AS ({sents}) SELECT s.doc_id, s.idx, count(*) AS entities FROM s JOIN spans e ON s.doc_id = e.doc_id AND contains(lower(s.sentence), e.entity) GROUP BY ALL"
+CONCEPT = rf"((?:[a-z0-9-]+ ){{0,2}}[a-z0-9-]+|[\x{{4e00}}-\x{{9fff}}]{{2,12}}) ?(?:{DEFINES}|{MAY_DEFINE})"
+# Words that introduce a term but are no part of it.
+LEADING = r"^(?:(?:the|a|an|this|our|here|we|that|and|in|of|to|then|for) )+"
 
 
 def group_concepts(defs: DataFrame) -> DataFrame:
-    """Definitions by concept (the first six-letter word), with the documents and the mean confidence."""
-    concept = F.regexp_extract(F.lower("sentence"), "([a-z]{6,})", 1)
+    """RES-16, RES-17: definitions by concept, the term to the left of the marker (up to three words, or
+    Chinese characters), in one case; a concept's first document, its definitions, mean confidence."""
+    concept = F.regexp_replace(F.regexp_extract(F.lower("sentence"), CONCEPT, 1), LEADING, "")
     conf = F.when(F.col("certainty") == "certain", 0.9).otherwise(0.6)
     g = defs.withColumns({"concept": concept, "c": conf}).where("concept <> ''").groupBy("concept")
-    return g.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.round(F.avg("c"), 6).alias("confidence"))
+    return g.agg(F.count("*").alias("definition_count"), F.min("doc_id").alias("first_doc"), F.min_by("sentence", F.struct("doc_id", "idx")).alias("first_definition"), F.round(F.avg("c"), 6).alias("confidence"))
 
 
-CONCEPT_SQL = "WITH s AS ({sents}), d AS (" + _DEF + "), c AS (SELECT *, regexp_extract(lower(sentence), '([a-z]{{6,}})', 1) AS concept FROM d) SELECT concept, count(*) AS n, count(DISTINCT doc_id) AS docs, round(avg(CASE WHEN certainty = 'certain' THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END), 6) AS confidence FROM c WHERE concept <> '' GROUP BY concept"
+_CONCEPT_SQL = CONCEPT.replace("{", "{{").replace("}", "}}")
+CONCEPT_SQL = "WITH s AS ({sents}), d AS (" + _DEF + "), c AS (SELECT *, regexp_replace(regexp_extract(lower(sentence), '" + _CONCEPT_SQL + "', 1), '" + LEADING + "', '') AS concept FROM d) SELECT concept, count(*) AS definition_count, min(doc_id) AS first_doc, arg_min(sentence, {{'a': doc_id, 'b': idx}}) AS first_definition, round(avg(CASE WHEN certainty = 'certain' THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END), 6) AS confidence FROM c WHERE concept <> '' GROUP BY concept"
 
 
 def quote_is_verbatim(quote: Column, source: Column) -> Column:

@@ -31,7 +31,7 @@ def _english(c: str) -> str:
 
 def _gate(c: str) -> str:
     return (
-        f"CASE WHEN {_count(c, HAN)} > 20 THEN 'zh' WHEN {_count(c, r'[A-Za-z\x{c0}-\x{24f}\x{4e00}-\x{9fff}]')} < 30 THEN 'pass'"
+        f"CASE WHEN {_count(c, r'[A-Za-z\x{c0}-\x{24f}\x{4e00}-\x{9fff}]')} < 30 THEN 'pass' WHEN {_count(c, HAN)} > 20 THEN 'zh'"
         f" WHEN {_english(c)} THEN 'en' ELSE 'non_english' END"
     )
 
@@ -247,13 +247,6 @@ def entity_counts(spark, d):
     return extract.entity_summary(extract.scan_lexicon(table(spark, d, "documents"), "abstract_text", extract.LEXICON))
 
 
-@query(extract.INTERVAL_SQL.format(sents=sents("abstract_text")))
-def evidence_interval_join(spark, d):
-    """JOIN-14: entity spans joined to the sentence that contains them."""
-    docs = table(spark, d, "documents")
-    return extract.spans_in_sentences(extract.scan_lexicon(docs, "abstract_text", extract.LEXICON), sentence_rows(docs, "abstract_text"))
-
-
 @query(extract.CONCEPT_SQL.format(sents=sents("abstract_text")))
 def concept_grouping(spark, d):
     """RES-16/17: definitions grouped by concept, with the mean confidence."""
