@@ -23,17 +23,6 @@ def join_wrapped(text: str) -> str:
     return "\n".join(x for x in out if x)
 
 
-def citation_span(sentence: str) -> str:
-    """STR-17: the clause of a sentence that its last marker belongs to, without markers."""
-    last = None
-    for last in MARKER.finditer(sentence):
-        pass
-    if last is None:
-        return ""
-    start = max((m.end() for m in re.finditer(r"[,;，；]\s*", sentence[: last.start()])), default=0)
-    return MARKER.sub("", sentence[start : last.start()]).strip()
-
-
 def reference_entries(text: str) -> list[str]:
     """EXT-03: entries of the section of references, split at their numbers, else at line ends."""
     m = REFERENCES.search(text)
@@ -47,16 +36,15 @@ def reference_entries(text: str) -> list[str]:
 
 
 def valid_markers(text: str) -> list[int]:
-    """EXT-02: numbers cited in the body that the list of references holds, in order of mention."""
+    """EXT-02: numbers cited in the body that the list of references holds, in order of mention. A range
+    is cut to the list's numbers before it is expanded, so that its width costs nothing."""
     entries = len(reference_entries(text))
     body = REFERENCES.split(text, 1)[0]
-    out: list[int] = []
+    out: dict[int, None] = {}
     for m in MARKER.finditer(body):
         for a, b in re.findall(r"(\d+)(?:\s*[-–]\s*(\d+))?", m.group()):
-            for n in range(int(a), min(int(b or a), int(a) + 200) + 1):
-                if 1 <= n <= entries and n not in out:
-                    out.append(n)
-    return out
+            out.update(dict.fromkeys(range(max(1, int(a)), min(int(b or a), entries) + 1)))
+    return list(out)
 
 
 def find_abstract(text: str) -> str:
@@ -65,7 +53,7 @@ def find_abstract(text: str) -> str:
     if m:
         return m.group(1).strip()
     best, score = "", 0.0
-    for i, p in enumerate(p.strip() for p in re.split(r"\n\s*\n", text)[:8]):
+    for i, p in enumerate(p.strip() for p in re.split(r"\n\s*\n", text)):
         s = min(len(p), 1500) / 1500 + 0.2 * len(re.findall(r"(?i)\b(?:we|this paper|study|results?)\b|本文|结果", p)) - 0.05 * i
         if len(p) >= 80 and s > score:
             best, score = p, s
@@ -150,27 +138,6 @@ def heading_chunks(text: str, size: int) -> list[str]:
     return out
 
 
-def resilient(call, items: list, least: int = 1) -> dict:
-    """RES-27: a batch call with bisection: a failing batch is halved, a failing single item left out;
-    items that an answer omits are asked for once more."""
-    try:
-        got = dict(call(items))
-    except ConnectionError:
-        raise  # a global failure is not split
-    except Exception:
-        if len(items) <= least:
-            return {}
-        mid = len(items) // 2
-        return {**resilient(call, items[:mid], least), **resilient(call, items[mid:], least)}
-    rest = [x for x in items if x not in got]
-    if rest and len(rest) < len(items):
-        try:
-            got |= dict(call(rest))
-        except Exception:
-            pass
-    return got
-
-
 # Sections that a fund proposal needs, and how their headings begin.
 FUND_SECTIONS = {"basis": r"立项依据|研究背景|background|rationale", "aims": r"研究目标|研究内容|aims|objectives", "plan": r"研究方案|技术路线|work ?plan|methods", "novelty": r"创新|innovation|novelty", "foundation": r"研究基础|工作条件|foundation|preliminary", "budget": r"经费|budget"}
 

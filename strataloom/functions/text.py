@@ -120,13 +120,14 @@ def year(text: Column) -> Column:
 
 
 def expand_markers(marker: Column) -> Column:
-    """Numbers of a citation marker: '[2, 4-6]' gives 2, 4, 5, 6. Reversed or very wide ranges keep their ends."""
+    """Numbers of a citation marker: '[2, 4-6]' gives 2, 4, 5, 6. A reversed range keeps its ends,
+    and so does one of more than a hundred thousand numbers, which cites nothing."""
     parts = F.regexp_extract_all(F.translate(marker, "，－–—、", ",---,"), F.lit(r"\d+(?:\s*-\s*\d+)?"), 0)
 
     def numbers(p: Column) -> Column:
-        a = F.regexp_extract(p, r"^(\d+)", 1).cast("int")
-        b = F.regexp_extract(p, r"(\d+)$", 1).cast("int")
-        return F.when((b >= a) & (b - a <= 200), F.sequence(a, b)).otherwise(F.array(a, b))
+        a = F.regexp_extract(p, r"^(\d+)", 1).try_cast("int")
+        b = F.regexp_extract(p, r"(\d+)$", 1).try_cast("int")
+        return F.when((b >= a) & (b - a <= 100_000), F.sequence(a, b)).otherwise(F.array(a, b))
 
     return F.array_distinct(F.flatten(F.transform(parts, numbers)))
 

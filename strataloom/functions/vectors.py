@@ -26,8 +26,8 @@ def unit(a: Column) -> Column:
 
 
 def blend(base: Column, other: Column, weight: float) -> Column:
-    """RUL-12: both vectors side by side, weighted by the roots of 1 - w and w."""
-    return F.concat(F.transform(base, lambda x: x * (1 - weight) ** 0.5), F.transform(other, lambda x: x * weight**0.5))
+    """RUL-12: both vectors at length 1 side by side, weighted by the roots of 1 - w and w."""
+    return F.concat(F.transform(unit(base), lambda x: x * (1 - weight) ** 0.5), F.transform(unit(other), lambda x: x * weight**0.5))
 
 
 def margin_confidence(margin: Column) -> Column:

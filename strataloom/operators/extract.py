@@ -32,7 +32,7 @@ def citations(sentences: DataFrame) -> DataFrame:
     return sentences.select("doc_id", "idx", F.size(marks).alias("markers"), author.alias("author_years"), numbers.alias("numbers")).where("markers > 0 OR author_years > 0")
 
 
-_NUM = "list_transform(regexp_extract_all({m}, '\\d+(?:\\s*-\\s*\\d+)?'), lambda p: CASE WHEN regexp_extract(p, '(\\d+)$', 1)::INT >= regexp_extract(p, '^(\\d+)', 1)::INT AND regexp_extract(p, '(\\d+)$', 1)::INT - regexp_extract(p, '^(\\d+)', 1)::INT <= 200 THEN range(regexp_extract(p, '^(\\d+)', 1)::INT, regexp_extract(p, '(\\d+)$', 1)::INT + 1) ELSE [regexp_extract(p, '^(\\d+)', 1)::INT, regexp_extract(p, '(\\d+)$', 1)::INT] END)"
+_NUM = "list_transform(regexp_extract_all({m}, '\\d+(?:\\s*-\\s*\\d+)?'), lambda p: CASE WHEN regexp_extract(p, '(\\d+)$', 1)::INT >= regexp_extract(p, '^(\\d+)', 1)::INT THEN range(regexp_extract(p, '^(\\d+)', 1)::INT, regexp_extract(p, '(\\d+)$', 1)::INT + 1) ELSE [regexp_extract(p, '^(\\d+)', 1)::INT, regexp_extract(p, '(\\d+)$', 1)::INT] END)"
 MARKERS_SQL = (
     "WITH s AS ({sents}), m AS (SELECT doc_id, idx, regexp_extract_all(sentence, '" + MARKER.replace("{", "{{").replace("}", "}}") + "') AS marks, len(regexp_extract_all(sentence, '" + AUTHOR_YEAR.replace("{", "{{").replace("}", "}}").replace("'", "''") + "')) AS author_years FROM s), "
     "n AS (SELECT *, flatten(list_transform(marks, lambda x: flatten(" + _NUM.replace("{m}", "translate(x, '，－–—、', ',---,')") + "))) AS all_numbers FROM m) "
@@ -132,3 +132,12 @@ CONCEPT_SQL = "WITH s AS ({sents}), d AS (" + _DEF + "), c AS (SELECT *, regexp_
 def quote_is_verbatim(quote: Column, source: Column) -> Column:
     """FLT-13: evidence counts only where it stands in the source word for word, blanks aside."""
     return F.contains(F.regexp_replace(source, r"\s+", ""), F.regexp_replace(quote, r"\s+", "")) & (F.char_length(quote) > 0)
+
+
+SPAN_MARKER = r"\[\d+(?:\s*[-–,，]\s*\d+)*\]"
+
+
+def citation_clause(sentence: Column) -> Column:
+    """STR-17: the clause of a sentence that its last marker belongs to, without markers; empty without one."""
+    before = F.regexp_extract(sentence, rf"(?s)^(.*){SPAN_MARKER}", 1)
+    return F.trim(F.regexp_replace(F.regexp_extract(before, "([^,;，；]*)$", 1), SPAN_MARKER, ""))

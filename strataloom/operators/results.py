@@ -16,7 +16,7 @@ from strataloom.functions import text as T
 
 def labelled_structure(text: Column) -> Column:
     """PRJ-03: title, abstract and keywords of a text with labels; null parts where a label is missing."""
-    part = lambda label, stop: F.nullif(F.trim(F.regexp_extract(text, rf"(?is)(?:^|\n)\s*(?:{label})\s*[:：]\s*(.*?)(?=\n\s*(?:{stop})\s*[:：]|$)", 1)), F.lit(""))
+    part = lambda label, stop: F.nullif(F.trim(F.regexp_extract(text, rf"(?is)(?:^|\n)\s*(?:{label})[ \t]*[:：][ \t]*(.*?)(?=\n\s*(?:{stop})\s*[:：]|$)", 1)), F.lit(""))
     names = "title|abstract|keywords|题目|摘要|关键词"
     return F.struct(part("title|题目", names).alias("title"), part("abstract|摘要", names).alias("abstract"), part("keywords|关键词", names).alias("keywords"))
 
@@ -41,9 +41,21 @@ def application_domain(path: Column) -> Column:
     return F.coalesce(F.try_element_at(path, F.lit(2)), F.try_element_at(path, F.lit(1)))
 
 
-def cluster_count_error(k: int, n: int) -> str | None:
-    """FLT-15: reason why k clusters of n items cannot be made."""
-    return None if 1 <= k < n else f"{k} clusters cannot be made of {n} items"
+def cluster_count_problem(k: Column, n: Column) -> Column:
+    """FLT-15: why k clusters of n items cannot be made; null where they can."""
+    return F.when(~((k >= 1) & (k < n)), F.concat(k.cast("string"), F.lit(" clusters cannot be made of "), n.cast("string"), F.lit(" items")))
+
+
+def capped_path(df: DataFrame, path: str = "path", levels: int = 3) -> DataFrame:
+    """PRJ-14: paths cut to their first levels, and the code of the last level kept."""
+    return df.withColumn(path, F.slice(path, 1, levels)).withColumn("code", F.try_element_at(path, F.lit(-1)))
+
+
+def label_counts(rows: DataFrame) -> DataFrame:
+    """RES-14: rows and documents of every label. Documents are counted over distinct pairs, so that a
+    frequent label costs no distinct count of its own."""
+    pairs = rows.groupBy("label", "doc_id").agg(F.count("*").alias("n"))
+    return pairs.groupBy("label").agg(F.sum("n").alias("sentences"), F.count("*").alias("docs"))
 
 
 def contains_term(text: Column, term: str) -> Column:

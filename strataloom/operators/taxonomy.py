@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import discipline
+from strataloom.session import checkpoint_dir
 
 
 def tree(regions: DataFrame, nations: DataFrame, suppliers: DataFrame) -> DataFrame:
@@ -18,18 +19,18 @@ def tree(regions: DataFrame, nations: DataFrame, suppliers: DataFrame) -> DataFr
     return r.unionByName(n).unionByName(s)
 
 
-def paths(t: DataFrame, deepest: int = 8) -> DataFrame:
-    """Path of every entry from its root; a cycle or a missing parent gives no path.
+def paths(t: DataFrame) -> DataFrame:
+    """Path of every entry from its root, however deep; a cycle or a missing parent gives no path.
 
-    Level by level: each round joins the entries whose parent was reached in the round before.
+    Level by level until one is empty: each round joins the entries whose parent was reached in the round
+    before, and cuts the lineage. An entry has one parent, so no entry is reached twice and a cycle never.
     """
-    level = t.where("parent IS NULL").select("code", F.array("code").alias("path"), F.col("name").alias("full_path"))
+    checkpoint_dir(t.sparkSession)
+    level = t.where("parent IS NULL").select("code", F.array("code").alias("path"), F.col("name").alias("full_path")).checkpoint()
     out = level
-    for _ in range(deepest - 1):
+    while not level.isEmpty():
         p = level.select(F.col("code").alias("parent"), "path", "full_path")
-        level = t.where("parent IS NOT NULL").join(p, "parent").select("code", F.array_append("path", F.col("code")).alias("path"), F.concat_ws(" / ", "full_path", "name").alias("full_path"))
-        if level.isEmpty():
-            break
+        level = t.where("parent IS NOT NULL").join(p, "parent").select("code", F.array_append("path", F.col("code")).alias("path"), F.concat_ws(" / ", "full_path", "name").alias("full_path")).checkpoint()
         out = out.unionByName(level)
     return out.withColumn("level", F.size("path"))
 

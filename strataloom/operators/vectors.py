@@ -184,18 +184,25 @@ def bucketed_clusters(rows: DataFrame, buckets: int, threshold: float = 0.78, se
     return micro.join(merged.select(F.col("micro").alias("cluster"), F.col("cluster").alias("merged")), "cluster").select(id_col, F.col("cluster").alias("micro"), F.col("merged").alias("cluster"))
 
 
-def propagate_labels(edges: DataFrame, rounds: int = 5) -> DataFrame:
+def propagate_labels(edges: DataFrame, most: int = 100) -> DataFrame:
     """SET-18: communities of a weighted graph (src, dst, weight; both directions) by label propagation.
 
-    Every round a node takes the label with the largest summed weight among its neighbours, ties to
-    the least label. The lineage is cut each round.
+    Every round a node takes the label with the largest summed weight among its neighbours and itself
+    (which counts as its strongest edge, so that two nodes cannot swap labels for ever), ties to the
+    least label, until no label changes. The lineage is cut each round; no result after ``most`` rounds
+    is an error.
     """
     from strataloom.session import checkpoint_dir
 
     checkpoint_dir(edges.sparkSession)
     labels = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("label", F.col("node")).checkpoint()
-    for _ in range(rounds):
-        votes = edges.join(labels.withColumnRenamed("node", "src"), "src").groupBy("dst", "label").agg(F.sum("weight").alias("w"))
+    own = edges.groupBy(F.col("dst").alias("src")).agg(F.max("weight").alias("weight")).select("src", F.col("src").alias("dst"), "weight")
+    links = edges.select("src", "dst", "weight").unionByName(own).checkpoint()
+    for _ in range(most):
+        votes = links.join(labels.withColumnRenamed("node", "src"), "src").groupBy("dst", "label").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("dst").agg(F.max_by("label", F.struct(F.round("w", 9), -F.col("label"))).alias("new"))
-        labels = labels.join(best, F.col("node") == F.col("dst"), "left").select("node", F.coalesce("new", "label").alias("label")).checkpoint()
-    return labels
+        new = labels.join(best, F.col("node") == F.col("dst"), "left").select("node", F.coalesce("new", "label").alias("label"), (F.coalesce("new", "label") != F.col("label")).alias("changed")).checkpoint()
+        labels = new.drop("changed")
+        if new.where("changed").isEmpty():
+            return labels
+    raise RuntimeError(f"labels still change after {most} rounds")

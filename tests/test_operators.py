@@ -181,3 +181,20 @@ def test_streaming(spark, data, tmp_path):
     assert spark.table("w").count() == want
     jobs.run_to_end(jobs.latest_states(jobs.read_folder(spark, str(tmp_path / "in"), schema).select("user_id", "ts", "event_type"), "user_id", "ts"), "s", str(tmp_path / "cp2"))
     assert spark.table("s").count() == spark.read.parquet(f"{data}/events.parquet").select("user_id").distinct().count()
+
+
+def test_depth_and_width_have_no_limit(spark):
+    chain = [("n0", None, "x")] + [(f"n{i}", f"n{i - 1}", "x") for i in range(1, 18)] + [("a", "b", "x"), ("b", "a", "x")]
+    got = {r.code: r.level for r in taxonomy.paths(spark.createDataFrame(chain, "code string, parent string, name string")).collect()}
+    assert got == {f"n{i}": i + 1 for i in range(18)}
+    marks = spark.createDataFrame([("[3-500]",), ("[9-2]",), ("[1, 99999999999]",)], "m string").select(T.expand_markers(F.col("m"))).collect()
+    assert len(marks[0][0]) == 498 and marks[1][0] == [9, 2]
+
+
+def test_label_propagation_ends(spark):
+    path = [(i, i + 1) for i in range(40)]
+    edges = spark.createDataFrame([(a, b, 1.0) for x, y in path for a, b in ((x, y), (y, x))], "src long, dst long, weight double")
+    got = {r.node: r.label for r in vectors.propagate_labels(edges).collect()}
+    assert len(got) == 41
+    with pytest.raises(RuntimeError):
+        vectors.propagate_labels(edges, 1)

@@ -27,7 +27,6 @@ def test_unwrapped(spark):
 
 
 def test_small_functions(spark):
-    assert R.cluster_count_error(3, 3) and R.cluster_count_error(0, 3) and R.cluster_count_error(2, 3) is None
     assert one(spark, R.contains_term(F.lit("A GAN, net"), "gan")) and not one(spark, R.contains_term(F.lit("organ"), "gan"))
     assert one(spark, R.ascii_markers(F.lit("［３，４］"))) == "[3,4]"
     assert one(spark, R.application_domain(F.array(F.lit("x")))) == "x" and one(spark, R.application_domain(F.array(F.lit("x"), F.lit("y")))) == "y"

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.functions import papers as P
+from strataloom.operators import batches
 from strataloom.operators import review as R
 
 PAPER = "Title\n\nAbstract: We test ice.\n\nIntroduction\nIce melts [1, 3]. It flows [2-9].\n\nReferences\n[1] Ada. One.\n[2] Bob.\nTwo.\n[3] Cy. Three."
@@ -13,7 +14,6 @@ def test_papers():
     assert P.reference_entries(PAPER) == ["Ada. One.", "Bob. Two.", "Cy. Three."] and P.reference_entries("none") == []
     assert P.valid_markers(PAPER) == [1, 3, 2]
     assert P.find_abstract(PAPER) == "We test ice."
-    assert P.citation_span("As shown, the ice melts [3], but slowly") == "the ice melts"
     assert P.join_wrapped("The ice-\nberg is\nbig.\nDOI 10.1\n膜污\n染") == "The iceberg is big.\n膜污染"
     assert P.locate_definition("a b, c", "x\na b,\n c") == 2 and P.locate_definition("zzzzzz", "abc") == -1
     assert P.excerpts("x" * 3000 + "cue" + "y" * 2000, ["CUE"]) == [(0, 2600), (2580, 3980)]
@@ -27,14 +27,15 @@ def test_fund_sections():
     assert got == [("basis", "Why."), ("aims", "What."), ("budget", "10")] and missing == ["plan", "novelty", "foundation"]
 
 
-def test_resilient():
-    def call(items):
-        if 3 in items:
-            raise ValueError
-        return [(i, i * i) for i in items]
-
-    assert P.resilient(call, [1, 2, 3, 4]) == {1: 1, 2: 4, 4: 16}
+def test_batches_keep_every_row(spark):
+    def call(texts):
+        if len(texts) > 1 and "bad" in texts or texts == ["bad"]:
+            raise ValueError("no")
+        return {t: t.upper() for t in texts if t != "mute"}
 
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c"), (4, "mute"), (5, None), (6, "a")], "n long, t string").coalesce(1)
+    got = {r.id: (r.answer, r.failure) for r in batches.answered(df, call, "n", "t", 4).collect()}
+    assert got == {1: ("A", None), 2: (None, "no"), 3: ("C", None), 4: (None, "omitted"), 5: (None, None), 6: ("A", None)}
 
 def test_review(spark):
     d = spark.createDataFrame([("a",), ("a",)], "document_id string")
