@@ -215,11 +215,6 @@ def distinctiveness(labels: DataFrame) -> DataFrame:
     return labels.join(top, "cluster_id", "left").select("cluster_id", "label", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
-def label_score(centre: Column, coverage: Column, distinct: Column, brevity: Column, frequency: Column, fluency: Column) -> Column:
-    """RES-31, LAB-03: weighted score of a label candidate."""
-    return F.round(0.38 * centre + 0.24 * coverage + 0.16 * distinct + 0.10 * brevity + 0.08 * frequency + 0.04 * fluency, 6)
-
-
 def soft_choice(rows: DataFrame, cap: float = 0.05, lead: float = 0.002) -> DataFrame:
     """RES-32: the base candidate unless a fallback, with its bonus held to a cap, beats it by a lead.
     ``rows``: (cluster_id, candidate, score, bonus, fallback)."""
