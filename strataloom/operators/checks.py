@@ -25,8 +25,7 @@ def content_problem(name: Column, content: Column) -> Column:
     """
     suffix = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([^.]+)$", 1))
     head = F.hex(F.substring(content, 1, 8))
-    text = F.try_validate_utf8(F.decode(content, "UTF-8")) if hasattr(F, "try_validate_utf8") else F.decode(content, "UTF-8")
-    text = F.coalesce(text, F.lit(""))
+    text = F.make_valid_utf8(F.coalesce(content.cast("string"), F.lit("")))
     n = F.greatest(F.char_length(text), F.lit(1))
     bad = F.regexp_count(text, F.lit(r"[\x{fffd}\x00-\x07\x0b\x0e-\x1f]"))
     effective = F.char_length(F.regexp_replace(text, r"\s+", ""))
@@ -34,10 +33,7 @@ def content_problem(name: Column, content: Column) -> Column:
     hits = F.filter(words, lambda w: w.isin(*COMMON))
     known = (F.size(hits) >= 3) | F.exists(hits, lambda w: F.char_length(w) >= 4)
     noise = (T.cjk_count(text) == 0) & (effective >= 200) & ~text.rlike("[.,;:!?，。；：0-9]") & ~known
-    plain = (
-        F.when(F.forall(F.array(*(F.lit(b) for b in BINARY)), lambda b: ~F.startswith(head, b)), None).otherwise("binary content")
-    )
-    plain = F.coalesce(plain, F.when((n >= 20) & (bad / n > 0.05), "unreadable"), F.when(effective < 10, "too short"), F.when(noise, "no words"))
+    plain = F.coalesce(F.when(head.rlike(f"^(?:{'|'.join(BINARY)})"), "binary content"), F.when((n >= 20) & (bad / n > 0.05), "unreadable"), F.when(effective < 10, "too short"), F.when(noise, "no words"))
     return (
         F.when(~F.coalesce(suffix.isin(*SUFFIXES), F.lit(False)), "unknown suffix")
         .when(F.coalesce(F.octet_length(content), F.lit(0)) == 0, "empty")
@@ -147,11 +143,9 @@ def label_evaluation(rows: DataFrame) -> DataFrame:
     """AGG-20: evaluation of cluster labels overall and by split: share right at once and among five,
     concept precision, recall and F1 from summed counts, share within the length, share of repeated labels.
     ``rows``: (split, label, top1, top5, tp, fp, fn, fits)."""
-    share = lambda c: F.round(F.avg(F.col(c).cast("int")), 6).alias(c)
     labels = rows.groupBy("split", "label").agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("long")).alias(c) for c in ("top1", "top5", "tp", "fp", "fn", "fits")))
     both = labels.unionByName(labels.withColumn("split", F.lit("all")).groupBy("split", "label").agg(*(F.sum(c).alias(c) for c in ("n", "top1", "top5", "tp", "fp", "fn", "fits"))))
     g = both.groupBy("split").agg(F.count("*").alias("labels"), *(F.sum(c).alias(c) for c in ("n", "top1", "top5", "tp", "fp", "fn", "fits")))
-    del share
     over = lambda a, b: F.round(F.col(a) / F.greatest(b, F.lit(1)), 6)
     n = F.col("n")
     return g.select("split", n.alias("clusters"), over("top1", n).alias("top1"), over("top5", n).alias("recall_at_5"), over("tp", F.col("tp") + F.col("fp")).alias("precision"), over("tp", F.col("tp") + F.col("fn")).alias("recall"), F.round(2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1)), 6).alias("f1"), over("fits", n).alias("length"), F.round((n - F.col("labels")) / n, 6).alias("repeated"))
@@ -180,7 +174,7 @@ def residue_line(s: Column) -> Column:
     markers in a long line, or column heads run together."""
     flat = F.regexp_replace(s, r"\s+", "")
     return (
-        (F.regexp_count(flat, F.lit(r"\d{1,3}\.\d{2,}\.\d")) >= 1) & (F.regexp_count(flat, F.lit(r"\d{1,3}\.\d{2,}")) >= 2)
+        (F.regexp_count(flat, F.lit(r"\d{1,3}\.\d{2,}(?=\d)")) >= 2)
         | (F.regexp_count(flat, F.lit(r"[\]］]\d")) >= 2)
         | s.rlike(r"\\mathrm|\\left\s*\[|\\right\s*\]|\$\{")
         | (F.contains(flat, F.lit("一一")) & flat.rlike(r"[\[［]\d"))

@@ -97,6 +97,13 @@ def nearest_centroid(rows: DataFrame, cents: DataFrame, cluster: str, id_col: st
     return j.select(id_col, cluster, F.col("best")[0]["c"].alias("nearest"), F.col("best")[0]["s"].alias("similarity"), margin.alias("margin"), (margin < 0.045).alias("review"))
 
 
+def ranked_centroids(rows: DataFrame, cents: DataFrame, cluster: str, k: int, vec_col: str = "embedding") -> DataFrame:
+    """The rows with their ``k`` nearest clusters: array<struct<code, score>>, best first, ties by code."""
+    scored = F.transform("all", lambda c: F.struct((-F.round(V.cosine(F.col(vec_col), c["v"]), 6)).alias("s"), c["c"].alias("code")))
+    best = F.slice(F.array_sort(scored), 1, k)
+    return with_centroids(rows, cents, cluster).withColumn("candidates", F.transform(best, lambda x: F.struct(x["code"].alias("code"), (-x["s"]).alias("score")))).drop("all")
+
+
 def cohesion(rows: DataFrame, cents: DataFrame, cluster: str, vec_col: str = "embedding") -> DataFrame:
     """AGG-15: mean similarity to the own centroid, and to the nearest and farthest other centroid."""
     own = rows.join(cents.select(cluster, F.col("centroid").alias("own")), cluster).groupBy(cluster).agg(F.count("*").alias("size"), F.round(F.avg(V.cosine(F.col(vec_col), F.col("own"))), 6).alias("cohesion"))

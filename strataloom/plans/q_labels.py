@@ -60,12 +60,12 @@ def local_candidates(spark, d):
 @query(
     f"""WITH {_MEAN}, {_CAND}, cov AS (SELECT c.cluster_id, c.label, sum(p.w * least(greatest((list_dot_product(c.v, p.v) + 1) / 2, 0), 1)) / sum(p.w) AS coverage FROM cand c JOIN p USING (cluster_id) GROUP BY ALL),
     x AS (SELECT c.*, coverage, (SELECT list_dot_product(c.v, n.centre) FROM cen n WHERE n.cluster_id = c.cluster_id) AS own, (SELECT max(list_dot_product(c.v, n.centre)) FROM cen n WHERE n.cluster_id <> c.cluster_id) AS other, max(source) OVER (PARTITION BY c.cluster_id) AS top, len(string_split(c.label, ' ')) AS n FROM cand c JOIN cov USING (cluster_id, label))
-    SELECT cluster_id, label, origin, round(round(0.38 * (own + 1) / 2 + 0.24 * coverage + 0.16 * source / top + 0.10 / (1 + exp(-6 * (own - coalesce(other, -1)))) + 0.08 * least(1, n / 2.0, 8.0 / n) + 0.04 * diversity, 6), 5) AS score, CASE WHEN n > 8 THEN ['too long'] ELSE [] END AS rejected FROM x"""
+    SELECT cluster_id, label, origin, round(0.38 * (own + 1) / 2 + 0.24 * coverage + 0.16 * source / top + 0.10 / (1 + exp(-6 * (own - coalesce(other, -1)))) + 0.08 * least(1, n / 2.0, 8.0 / n) + 0.04 * diversity, 6) AS score, CASE WHEN n > 8 THEN ['too long'] ELSE [] END AS rejected FROM x"""
 )
 def label_scores(spark, d):
     """RES-31, LAB-03: scores of label candidates; the SQL takes coverage over all pairs, the operator from the weighted mean."""
     p = _phrases(spark, d)
-    return L.scored_candidates(L.local_candidates(p, NEAR, FAR), L.phrase_centres(p)).withColumn("score", F.round("score", 5))
+    return L.scored_candidates(L.local_candidates(p, NEAR, FAR), L.phrase_centres(p))
 
 
 @query(

@@ -84,7 +84,7 @@ def newest_per_workspace(spark, d):
 
 @query("SELECT id, task_id, created_at FROM task_items WHERE updated_at IS NOT NULL AND updated_at < created_at + INTERVAL 15 SECOND")
 def ttl_filter(spark, d):
-    """SRC-16, DATE-04: entries whose time to live has not passed."""
+    """DATE-04: entries that were updated within a time to live."""
     return table(spark, d, "task_items").where("updated_at < created_at + INTERVAL 15 SECONDS").select("id", "task_id", "created_at")
 
 
@@ -128,18 +128,6 @@ def reader_dispatch(spark, d):
     return table(spark, d, "files").select("id", sinks.reader_of(F.col("original_name")).alias("reader"), (F.col("size_bytes") > 0).alias("readable"))
 
 
-_DN = r"TRY_CAST(nullif(regexp_extract(json_extract_string(CASE WHEN json_valid(metadata_json) THEN metadata_json END, '$.source_document_id'), '(\d+)$', 1), '') AS BIGINT)"
-
-
-@query(f"SELECT doc_id, CASE WHEN {_DN} = doc_id - 1 THEN 'number' ELSE 'none' END AS matched_by FROM documents")
-def document_alias(spark, d):
-    """JOIN-10: the alias in the metadata matched with the id by its trailing number."""
-    alias = F.get_json_object("metadata_json", "$.source_document_id")
-    ok = F.from_json("metadata_json", "struct<source_document_id:string>").getField("source_document_id").isNotNull()
-    number = F.regexp_extract(alias, r"(\d+)$", 1).try_cast("long")
-    return table(spark, d, "documents").select("doc_id", F.when(ok & (number == F.col("doc_id") - 1), "number").otherwise("none").alias("matched_by"))
-
-
 @query("SELECT x.id, coalesce(f.media_type, x.source) AS source, coalesce(f.created_at, x.created_at) AS created_at FROM documents x LEFT JOIN (SELECT id, min(media_type) AS media_type, min(created_at) AS created_at FROM files GROUP BY id) f ON x.file_id = f.id")
 def metadata_override(spark, d):
     """JOIN-07: values of the file win over those of the document where they are there."""
@@ -225,7 +213,7 @@ def taxonomy_kind(spark, d):
 
 @query("SELECT c.c_custkey, count(o.o_orderkey) AS orders, round(coalesce(sum(o.o_totalprice), 0), 2) AS total, max(o.o_orderdate) AS last_order FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey")
 def customer_rollup(spark, d):
-    """JOIN-05: left join and rollup with counts of the joined side."""
+    """Left join and rollup with counts of the joined side."""
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("t"), F.max("o_orderdate").alias("last_order"))
     return table(spark, d, "customer").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders"), F.round(F.coalesce("t", F.lit(0.0)), 2).alias("total"), "last_order")
 
@@ -238,7 +226,7 @@ def supporting_nodes(spark, d):
 
 @query("SELECT user_id, ts, event_type, value, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried, event_id FROM events")
 def carry_forward(spark, d):
-    """JOIN-15, EXT-07, RES-36: the last preceding owner is carried forward."""
+    """The last value before is carried forward (a building block of JOIN-15)."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return table(spark, d, "events").select("user_id", "ts", "event_type", "value", F.last(F.when(F.col("event_type") == "signup", F.col("value")), ignorenulls=True).over(w).alias("carried"), "event_id")
 
