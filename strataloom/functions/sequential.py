@@ -9,6 +9,7 @@ import io
 import json
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Callable
 from difflib import SequenceMatcher
 from xml.etree import ElementTree
@@ -58,12 +59,6 @@ def split_english(text: str) -> list[str]:
     return [s for s in out if s]
 
 
-def split_clauses(text: str) -> list[str]:
-    """STR-07: clauses at commas, semicolons and means phrases."""
-    parts = re.split(r"(?<=[,;，；])\s*|\s+(?=by (?:employing|using|means of)\b)", text)
-    return [p.strip() for p in parts if p.strip()]
-
-
 def lcs_length(a: str, b: str) -> int:
     """STR-09: length of the longest common subsequence of characters."""
     if len(a) < len(b):
@@ -90,13 +85,31 @@ def find_fuzzy(needle: str, text: str, least: float = 0.86) -> int:
     if at >= 0:
         return kept[at][0]
     n, best, where = len(needle), least, -1
-    for i in range(0, max(1, len(text) - n + 1), max(1, n // 4)):
+    for i in _likely_starts(needle, text):
         m = SequenceMatcher(None, needle, text[i : i + n], autojunk=False)
-        if m.quick_ratio() >= best and (r := m.ratio()) >= best:
+        if m.quick_ratio() >= best and (r := m.ratio()) >= best and (r > best or where < 0):
             best, where = r, i
     return where
 
 
+def _likely_starts(needle: str, text: str) -> list[int]:
+    """Starts of windows that share letter sequences with the needle: a near copy shares most of them, at
+    offsets that differ by no more than its insertions and deletions. Each such start is tried."""
+    size = max(1, min(4, len(needle) // 8))
+    starts: Counter = Counter()
+    for j in range(len(needle) - size + 1):
+        at = text.find(needle[j : j + size])
+        while at >= 0:
+            starts[max(0, min(at - j, len(text) - 1))] += 1
+            at = text.find(needle[j : j + size], at + 1)
+    near: Counter = Counter()  # sequences shared by starts close together
+    width = max(1, len(needle) // 8)
+    for s, c in starts.items():
+        near[s // width] += c
+    enough = 0.3 * (len(needle) - size + 1)
+    return sorted(s for s in starts if near[s // width] + near[s // width - 1] + near[s // width + 1] >= enough)
+
+
 def clip(text: str, size: int) -> str:
     """STR-22: at most ``size`` characters, cut at a word end, with brackets closed or their opening dropped."""
     if len(text) > size:

@@ -171,3 +171,9 @@ def table_line(line: Column) -> Column:
     """Whether a line is a table row or formula: digits, operators and bars prevail."""
     n = F.greatest(F.char_length(line), F.lit(1))
     return (count(line, r"[0-9]") / n > 0.4) | (count(line, r"[|\t]") >= 2) | (count(line, r"[=+*/^<>]") >= 3)
+
+
+def clauses(text: Column) -> Column:
+    """STR-07: clauses at commas, semicolons and means phrases."""
+    cut = F.regexp_replace(F.regexp_replace(text, r"([,;，；])\s*", "$1\x01"), r"\s+(by (?:employing|using|means of)\b)", "\x01$1")
+    return F.filter(F.transform(F.split(cut, "\x01"), lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")

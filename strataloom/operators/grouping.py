@@ -20,19 +20,19 @@ def checked(df: DataFrame, group: str, limit: int) -> DataFrame:
 
 
 def complete_linkage(names: list[str], same) -> list[int]:
-    """SET-10: items merged only if all pairs across are the same; insertion order decides."""
-    groups: list[list[int]] = []
-    label = []
-    for i, x in enumerate(names):
-        for g, members in enumerate(groups):
-            if all(same(x, names[j]) for j in members):
-                members.append(i)
-                label.append(g)
-                break
-        else:
-            groups.append([i])
-            label.append(len(groups) - 1)
-    return label
+    """SET-10: items in order; the groups of two items are united if all pairs across them are the same.
+    Groups are numbered by their first item."""
+    group = list(range(len(names)))
+    members = {i: [i] for i in group}
+    for j in range(len(names)):
+        for i in range(j):
+            a, b = sorted((group[i], group[j]))
+            if a != b and same(names[i], names[j]) and all(same(names[x], names[y]) for x in members[a] for y in members[b]):
+                for y in members[b]:
+                    group[y] = a
+                members[a] += members.pop(b)
+    place = {g: n for n, g in enumerate(sorted(members))}
+    return [place[g] for g in group]
 
 
 def same_term(a: str, b: str) -> bool:

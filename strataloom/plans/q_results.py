@@ -90,7 +90,7 @@ def question_merge(spark, d):
     return R.merged_questions(q.select("doc_id", "idx", F.col("sentence").alias("question"), (F.col("score") / 10.0).alias("confidence")))
 
 
-@query()
+@query(f"WITH e AS (SELECT DISTINCT doc_id, keyword AS entity FROM ({keywords._META_SQL}) WHERE keyword IS NOT NULL) SELECT doc_id, entity FROM e a WHERE NOT (length(entity) >= 6 AND (SELECT count(*) FROM e b WHERE b.doc_id = a.doc_id AND b.entity <> a.entity AND length(b.entity) >= 3 AND contains(a.entity, b.entity)) >= 2)")
 def atomic_entities(spark, d):
     """RES-02: composite entities dropped."""
     k = keywords.of_metadata(table(spark, d, "documents")).where("keyword IS NOT NULL").select("doc_id", F.col("keyword").alias("entity"))

@@ -34,11 +34,12 @@ def review_methods(spark, d):
     return R.cross_document_groups(m.select("doc_id", F.col("entity").alias("method"), F.col("start_pos").alias("idx")))
 
 
-@query()
+@query(extract._SPANS + ", e AS (SELECT doc_id, entity, string_agg(DISTINCT start_pos, ',' ORDER BY start_pos) AS ev FROM spans WHERE type = 'method' GROUP BY ALL) SELECT doc_id, list(entity || ':' || ev ORDER BY entity) AS methods FROM e GROUP BY doc_id")
 def review_tree(spark, d):
-    """REV-05: documents with their methods and evidence, nested."""
+    """REV-05: documents with their methods and the places of their evidence."""
     m = extract.scan_lexicon(table(spark, d, "documents"), "abstract_text", extract.LEXICON).where("type = 'method'")
-    return R.evidence_tree(m.select("doc_id", F.col("entity").alias("method"), F.col("start_pos").alias("idx")))
+    tree = R.evidence_tree(m.select("doc_id", F.col("entity").alias("method"), F.col("start_pos").alias("idx")))
+    return tree.select("doc_id", F.transform("methods", lambda x: F.concat(x["method"], F.lit(":"), F.array_join(x["evidence"].cast("array<string>"), ","))).alias("methods"))
 
 
 def _texts(spark, d):
@@ -51,10 +52,18 @@ def reference_lists(spark, d):
     return _texts(spark, d).select("doc_id", F.posexplode(S.udf(P.reference_entries, "array<string>", F.col("text"))).alias("place", "entry"))
 
 
-@query()
+_CITED = "\\[\\d+(?:\\s*[-–,，]\\s*\\d+)*\\]"
+
+
+@query(
+    f"WITH m AS (SELECT doc_id, doc_id % 40 + 1 AS n, flatten(list_transform(regexp_extract_all(content_text, '{_CITED}'), lambda x: regexp_extract_all(x, '\\d+(?:\\s*[-–]\\s*\\d+)?'))) AS ps FROM documents WHERE content_text IS NOT NULL), "
+    "x AS (SELECT doc_id, flatten(list_transform(ps, lambda p: range(greatest(1, regexp_extract(p, '^(\\d+)', 1)::BIGINT), least(n, regexp_extract(p, '(\\d+)$', 1)::BIGINT) + 1))) AS all_numbers FROM m) SELECT doc_id, list_filter(all_numbers, lambda v, i: list_position(all_numbers, v) = i) AS numbers FROM x WHERE len(all_numbers) > 0"
+)
 def validated_markers(spark, d):
-    """EXT-02: cited numbers that the list of references holds."""
-    return _texts(spark, d).select("doc_id", S.udf(P.valid_markers, "array<int>", F.col("text")).alias("numbers")).where(F.size("numbers") > 0)
+    """EXT-02: cited numbers that the list of references (here one of 1 to 40 entries) holds."""
+    entries = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 40 + 1).cast("int")), lambda i: F.concat(F.lit("["), i.cast("string"), F.lit("] An entry."))), "\n")
+    docs = spread(table(spark, d, "documents").where("content_text IS NOT NULL")).select("doc_id", F.concat("content_text", F.lit("\n\nReferences\n"), entries).alias("text"))
+    return docs.select("doc_id", S.udf(P.valid_markers, "array<int>", F.col("text")).alias("numbers")).where(F.size("numbers") > 0)
 
 
 @query()
@@ -69,7 +78,7 @@ def joined_lines(spark, d):
     return _texts(spark, d).select("doc_id", S.udf(P.join_wrapped, "string", F.col("text")).alias("joined"))
 
 
-@query()
+@query("SELECT doc_id, t.fullkey AS path, coalesce(json_extract_string(t.atom, '$'), '') AS value FROM documents, json_tree(CASE WHEN json_valid(metadata_json) THEN metadata_json END) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')")
 def metadata_paths(spark, d):
     """JSON-04: paths and values of the metadata."""
     m = table(spark, d, "documents").where("metadata_json IS NOT NULL").select("doc_id", "metadata_json")

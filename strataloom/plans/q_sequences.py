@@ -25,11 +25,14 @@ def split_by_language(spark, d):
     return zh.unionByName(en)
 
 
-@query()
+_CUT = "regexp_replace(regexp_replace(abstract_text, '([,;，；])\\s*', '\\1' || chr(1), 'g'), '\\s+(by (?:employing|using|means of)\\b)', chr(1) || '\\1', 'g')"
+
+
+@query(f"WITH c AS (SELECT doc_id, list_filter(list_transform(string_split({_CUT}, chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS c FROM documents WHERE abstract_text IS NOT NULL) SELECT doc_id, i - 1 AS idx, c[i] AS clause FROM c, unnest(range(1, len(c) + 1)) AS r(i)")
 def clause_split(spark, d):
     """STR-07: clauses of the abstracts."""
     docs = spread(table(spark, d, "documents").where("abstract_text IS NOT NULL").select("doc_id", "abstract_text"))
-    return docs.select("doc_id", F.posexplode(S.udf(S.split_clauses, "array<string>", F.col("abstract_text"))).alias("idx", "clause"))
+    return docs.select("doc_id", F.posexplode(T.clauses(F.col("abstract_text"))).alias("idx", "clause"))
 
 
 @query()
@@ -40,7 +43,13 @@ def paper_sections(spark, d):
     return docs.select("doc_id", F.posexplode(s).alias("idx", "s")).select("doc_id", "idx", "s.heading", "s.level", "s.body")
 
 
-@query()
+_PARAGRAPHS = "p AS (SELECT doc_id, i, ps[i] AS p FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(content_text, '\\n\\s*\\n'), lambda x: regexp_replace(x, '^[\\s\\x{a0}\\x{3000}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x0b\\x{85}]+|[\\s\\x{a0}\\x{3000}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x0b\\x{85}]+$', '', 'g')), lambda x: x <> '') AS ps FROM documents WHERE content_text IS NOT NULL), unnest(range(1, len(ps) + 1)) AS r(i))"
+
+
+@query(
+    f"WITH RECURSIVE {_PARAGRAPHS}, r(doc_id, i, c, n) AS (SELECT doc_id, i, 0, length(p) FROM p WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, CASE WHEN r.n + 2 + length(p.p) <= 1200 THEN r.c ELSE r.c + 1 END, CASE WHEN r.n + 2 + length(p.p) <= 1200 THEN r.n + 2 + length(p.p) ELSE length(p.p) END FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1) "
+    "SELECT r.doc_id, c AS idx, string_agg(p.p, chr(10) || chr(10) ORDER BY r.i) AS chunk FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i GROUP BY r.doc_id, c"
+)
 def paragraph_chunks(spark, d):
     """PRJ-04: paragraphs packed to 1200 characters."""
     docs = spread(table(spark, d, "documents").where("content_text IS NOT NULL").select("doc_id", "content_text"))

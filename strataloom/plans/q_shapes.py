@@ -338,13 +338,13 @@ def covered_labels(spark, d):
 
 
 @query(
-    "WITH s AS (SELECT user_id AS doc_id, event_id // 7 AS sentence, event_type AS anchor, least(value / 20, 1) AS similarity FROM events), m AS (SELECT doc_id, anchor, sentence, max(similarity) AS s FROM s GROUP BY ALL), a AS (SELECT doc_id, anchor, avg(s) AS s FROM m GROUP BY ALL), "
-    "b AS (SELECT doc_id, arg_max(anchor, {'s': s, 'a': anchor}) AS anchor, max(s) AS s FROM a GROUP BY 1) SELECT doc_id, CASE WHEN s >= 0.55 THEN anchor END AS anchor, round(s, 5) AS similarity FROM b"
+    "WITH s AS (SELECT user_id AS doc_id, event_id // 7 AS sentence, event_type AS anchor, least(value / 20.0123::DOUBLE, 1) AS similarity FROM events), m AS (SELECT doc_id, anchor, sentence, max(similarity) AS s FROM s GROUP BY ALL), a AS (SELECT doc_id, anchor, avg(s) AS s FROM m GROUP BY ALL), "
+    "b AS (SELECT doc_id, arg_max(anchor, {'s': s, 'a': anchor}) AS anchor, max(s) AS s FROM a GROUP BY 1) SELECT doc_id, CASE WHEN s >= 0.55 THEN anchor END AS anchor, round(s, 6) AS similarity FROM b"
 )
 def anchor_choices(spark, d):
     """RES-42: the anchor with the best mean similarity over sentences, where it is enough."""
-    e = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.floor(F.col("event_id") / 7).alias("sentence"), F.col("event_type").alias("anchor"), F.least(F.col("value") / 20, F.lit(1.0)).alias("similarity"))
-    return W.anchor_gate(e).withColumn("similarity", F.round("similarity", 5))
+    e = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.floor(F.col("event_id") / 7).alias("sentence"), F.col("event_type").alias("anchor"), F.least(F.col("value") / 20.0123, F.lit(1.0)).alias("similarity"))
+    return W.anchor_gate(e)
 
 
 @query("SELECT doc_id, len(t) > 0 AND NOT v AS active, CASE WHEN len(t) > 0 AND NOT v THEN list_slice(list_filter(e || t, lambda x, i: list_position(e || t, x) = i), 1, 5) ELSE e END AS evidence FROM (SELECT doc_id, string_split(source, '-') AS t, [source, coalesce(lang, 'none')] AS e, doc_id % 2 = 0 AS v FROM documents)")

@@ -39,7 +39,6 @@ def test_singular_and_keywords(spark):
 def test_splitters():
     assert S.split_english('Dr. Smith saw Fig. 3. It was 4.5 cm. "Fine." Then i.e. this.') == ["Dr. Smith saw Fig. 3.", "It was 4.5 cm.", '"Fine."', "Then i.e. this."]
     assert S.split_chinese("他说：“好。走吧。”然后走了。真的？！是。") == ["他说：“好。走吧。”然后走了。", "真的？！", "是。"]
-    assert S.split_clauses("we test, then by using x; done") == ["we test,", "then", "by using x;", "done"]
 
 
 def test_sequences():
@@ -198,3 +197,53 @@ def test_label_propagation_ends(spark):
     assert len(got) == 41
     with pytest.raises(RuntimeError):
         vectors.propagate_labels(edges, 1)
+
+
+def test_clauses(spark):
+    assert one(spark, T.clauses(F.lit("we test, then by using x; done"))) == ["we test,", "then", "by using x;", "done"]
+    assert one(spark, T.clauses(F.lit(None).cast("string"))) is None and one(spark, T.clauses(F.lit(""))) == []
+
+
+def test_fuzzy_search_against_every_window():
+    from difflib import SequenceMatcher
+
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghij klmn")
+    found = true = 0
+    for _ in range(60):
+        text = "".join(rng.choice(letters, 300))
+        at = int(rng.integers(0, 240))
+        needle = list(text[at : at + 50])
+        for k in rng.choice(50, int(rng.integers(1, 7)), replace=False):
+            needle[k] = str(rng.choice(letters))
+        needle = "".join(needle)
+        best = max(SequenceMatcher(None, needle, text[i : i + 50], autojunk=False).ratio() for i in range(251))
+        got = S.find_fuzzy(needle, text)
+        true += best >= 0.86
+        found += best >= 0.86 and abs(got - at) <= 2
+        assert best >= 0.86 or got == -1
+    assert true > 40 and found >= 0.95 * true
+
+
+def test_complete_linkage_unites_groups():
+    same = {frozenset(p) for p in ("ab", "cd", "ac", "ad", "bc", "bd", "ae")}
+    assert grouping.complete_linkage(list("abcde"), lambda x, y: frozenset((x, y)) in same) == [0, 0, 0, 0, 1]
+    assert grouping.complete_linkage(list("eacbd"), lambda x, y: frozenset((x, y)) in same) == [0, 0, 1, 1, 1]
+
+
+def test_content_checks(spark):
+    from strataloom.operators import checks
+
+    files = [("a.pdf", b"%PDF-1.4 x"), ("a.pdf", b"PK\x03\x04"), ("a.docx", b"PK\x03\x04rest"), ("a.exe", b"MZ"), ("a.txt", b""), ("a.txt", b"\x89PNG rest of it"), ("a.md", b"A text of some words."), ("a.txt", bytes(range(1, 9)) * 9), ("a.txt", b"qzxv " * 80), ("a.csv", b"short"), (None, b"x"), ("a.json", None)]
+    df = spark.createDataFrame(files, "name string, content binary").select(checks.content_problem(F.col("name"), F.col("content")).alias("p"))
+    assert [r.p for r in df.collect()] == [None, "not a pdf", None, "unknown suffix", "empty", "binary content", None, "unreadable", "no words", "too short", "unknown suffix", "empty"]
+
+
+def test_places_of_a_hot_group(spark):
+    from strataloom.operators import checks
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "rare").otherwise("hot").alias("g"), F.md5(F.col("id").cast("string")).alias("k"))
+    got = checks.ranked(df, "g", "k", 1).collect()
+    for g in ("hot", "rare"):
+        own = sorted((r.k, r.place) for r in got if r.g == g)
+        assert [p for _, p in own] == list(range(1, len(own) + 1))
