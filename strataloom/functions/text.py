@@ -177,3 +177,14 @@ def clauses(text: Column) -> Column:
     """STR-07: clauses at commas, semicolons and means phrases."""
     cut = F.regexp_replace(F.regexp_replace(text, r"([,;，；])\s*", "$1\x01"), r"\s+(by (?:employing|using|means of)\b)", "\x01$1")
     return F.filter(F.transform(F.split(cut, "\x01"), lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")
+
+
+def with_neighbours(items: str, blank=None) -> Column:
+    """Every item of an array column with the one before and after it (empty at the ends and where
+    ``blank`` holds of the neighbour): array<struct<item, before, after>>, made within the row."""
+
+    def side(i: Column) -> Column:
+        x = F.coalesce(F.get(items, i), F.lit(""))
+        return x if blank is None else F.when(blank(x), "").otherwise(x)
+
+    return F.transform(items, lambda x, i: F.struct(x.alias("item"), side(i - 1).alias("before"), side(i + 1).alias("after")))

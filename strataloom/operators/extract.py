@@ -40,13 +40,13 @@ MARKERS_SQL = (
 )
 
 
-def definitions(sentences: DataFrame) -> DataFrame:
-    """Definition sentences: certain by a marker phrase, uncertain by a cue; with their neighbours."""
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    low = F.lower("sentence")
+def definitions(docs: DataFrame) -> DataFrame:
+    """Definition sentences of (doc_id, s), an array of sentences: certain by a marker phrase, uncertain by
+    a cue; with their neighbours, which are taken within the array."""
+    rows = docs.select("doc_id", F.posexplode(T.with_neighbours("s")).alias("idx", "c"))
+    low = F.lower("c.item")
     kind = F.when(low.rlike(DEFINES), "certain").when(low.rlike(MAY_DEFINE), "uncertain")
-    s = sentences.withColumns({"certainty": kind, "prev": F.coalesce(F.lag("sentence").over(w), F.lit("")), "next": F.coalesce(F.lead("sentence").over(w), F.lit(""))})
-    return s.where("certainty IS NOT NULL").select("doc_id", "idx", "sentence", "certainty", "prev", "next")
+    return rows.select("doc_id", "idx", F.col("c.item").alias("sentence"), kind.alias("certainty"), F.col("c.before").alias("prev"), F.col("c.after").alias("next")).where("certainty IS NOT NULL")
 
 
 _DEF = f"SELECT * FROM (SELECT doc_id, idx, sentence, CASE WHEN regexp_matches(lower(sentence), '{DEFINES}') THEN 'certain' WHEN regexp_matches(lower(sentence), '{MAY_DEFINE}') THEN 'uncertain' END AS certainty, coalesce(lag(sentence) OVER w, '') AS prev, coalesce(lead(sentence) OVER w, '') AS next FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY idx)) WHERE certainty IS NOT NULL"

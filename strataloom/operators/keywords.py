@@ -101,11 +101,11 @@ SELECT term, freq FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.term <> a
 
 def idf(docs: DataFrame, col: str) -> DataFrame:
     """Document frequency of terms and four variants of IDF."""
-    n = docs.count()
+    total = docs.agg(F.count("*").alias("docs"))
     rows = docs.select("doc_id", F.explode(T.latin_terms(F.col(col))).alias("term"))
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
     d = F.col("df")
-    return df.select("term", "df", F.round(F.log((1 + F.lit(n)) / (1 + d)) + 1, 6).alias("idf_smooth"), F.round(F.log((F.lit(n) + 1) / (d + 0.5)) + 1, 6).alias("idf_phrase"), F.round(F.log(F.lit(n) / d), 6).alias("idf_plain"), F.round(F.log(1 + F.lit(n) / d), 6).alias("idf_token"))
+    return df.join(F.broadcast(total)).select("term", "df", F.round(F.log((1 + F.col("docs")) / (1 + d)) + 1, 6).alias("idf_smooth"), F.round(F.log((F.col("docs") + 1) / (d + 0.5)) + 1, 6).alias("idf_phrase"), F.round(F.log(F.col("docs") / d), 6).alias("idf_plain"), F.round(F.log(1 + F.col("docs") / d), 6).alias("idf_token"))
 
 
 IDF_SQL = """WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[a-z][a-z0-9-]{2,}'))) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(*)::DOUBLE AS n FROM documents)

@@ -54,17 +54,23 @@ RULES = (
 )
 
 
+def cue_columns(sentence: Column) -> dict[str, Column]:
+    """The six dimensions of a sentence as 0 or 1."""
+    low = F.lower(sentence)
+    cols = {f"f_{k}": low.rlike(v).cast("int") for k, v in CUES.items()}
+    cols["f_number"] = sentence.rlike("[0-9]").cast("int")
+    cols["f_person"] = low.rlike("(^| )(we|our|wir|nous|nuestro) |我们|本研究").cast("int")
+    return cols
+
+
 def features(sentences: DataFrame) -> DataFrame:
-    """The six dimensions of every sentence as 0 or 1."""
-    cols = {f"f_{k}": F.lower("sentence").rlike(v).cast("int") for k, v in CUES.items()}
-    cols["f_number"] = F.col("sentence").rlike("[0-9]").cast("int")
-    cols["f_person"] = F.lower("sentence").rlike("(^| )(we|our|wir|nous|nuestro) |我们|本研究").cast("int")
-    return sentences.withColumns(cols)
+    """The six dimensions of every sentence as columns."""
+    return sentences.withColumns(cue_columns(F.col("sentence")))
 
 
-def default_label() -> Column:
+def default_label(f: dict[str, Column]) -> Column:
     """Label where no model gives one: the first dimension with a cue."""
-    return F.when(F.col("f_conclusion") == 1, "conclusion").when(F.col("f_result") == 1, "result").when(F.col("f_method") == 1, "method").when(F.col("f_purpose") == 1, "purpose").otherwise("background")
+    return F.when(f["f_conclusion"] == 1, "conclusion").when(f["f_result"] == 1, "result").when(f["f_method"] == 1, "method").when(f["f_purpose"] == 1, "purpose").otherwise("background")
 
 
 _LABEL_SQL = "CASE WHEN f_conclusion = 1 THEN 'conclusion' WHEN f_result = 1 THEN 'result' WHEN f_method = 1 THEN 'method' WHEN f_purpose = 1 THEN 'purpose' ELSE 'background' END"
@@ -105,11 +111,14 @@ def fires(rule: Rule) -> tuple[Column, str]:
     return column, "(" + " AND ".join(sql) + ")"
 
 
-def with_context(sentences: DataFrame) -> DataFrame:
-    """Features, label, relative position and which moves occurred before."""
-    w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    out = features(sentences).withColumn("label", default_label()).withColumn("rel", F.col("idx") / F.col("n"))
-    return out.withColumns({f"seen_{m}": F.coalesce(F.max((F.col("label") == m).cast("int")).over(w), F.lit(0)) for m in MOVES})
+def seen_before(docs: DataFrame) -> DataFrame:
+    """One row for each sentence of (doc_id, s), an array of sentences: features, label, relative position
+    and which moves occurred before. Made within the document's array: nothing is shuffled."""
+    labels = docs.withColumn("labels", F.transform("s", lambda x: default_label(cue_columns(x))))
+    firsts = labels.select("doc_id", "s", "labels", *(F.array_position("labels", F.lit(m)).alias(f"first_{m}") for m in MOVES))
+    rows = firsts.select("doc_id", "labels", F.size("s").alias("n"), *(f"first_{m}" for m in MOVES), F.posexplode("s").alias("idx", "sentence"))
+    seen = {f"seen_{m}": ((F.col(f"first_{m}") > 0) & (F.col(f"first_{m}") <= F.col("idx"))).cast("int") for m in MOVES}
+    return features(rows).withColumns({"label": F.get("labels", "idx"), "rel": F.col("idx") / F.col("n"), **seen}).drop("labels", *(f"first_{m}" for m in MOVES))
 
 
 _CONTEXT_SQL = (
@@ -126,13 +135,15 @@ def _sum(terms: list[Column], start: float = 0.0) -> Column:
     return out
 
 
-def score(sentences: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """One row for each sentence: its label, the moves' scores, suggestion, consensus and conflict.
+def score(sentences: DataFrame, rules: tuple[Rule, ...], *keep: str) -> DataFrame:
+    """One row for each sentence of ``seen_before`` (``keep`` names columns to go with it; ``fired``, an
+    array<struct<rule, move, plus>> of the rules that fire, can be one): its label, the moves' scores, suggestion, consensus and conflict.
 
     A sentence without any firing rule keeps its label's base score; ties go to the earlier move.
     """
-    s = with_context(sentences)
-    s = s.withColumns({f"r_{r.id}": fires(r)[0].cast("int") for r in rules})
+    s = sentences.withColumns({f"r_{r.id}": fires(r)[0].cast("int") for r in rules})
+    if "fired" in keep:
+        s = s.withColumn("fired", F.filter(F.array(*(F.when(F.col(f"r_{r.id}") == 1, F.struct(F.lit(r.id).alias("rule"), F.lit(r.move).alias("move"), F.lit(1 if r.action == "+score" else 0).alias("plus"))) for r in rules)), lambda x: x.isNotNull()))
     totals = {}
     for m in MOVES:
         base = F.when(F.col("label") == m, BASE).otherwise(0.0)
@@ -148,7 +159,7 @@ def score(sentences: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     s = s.withColumns({"top": F.array_max(order(False)), "alt": F.array_max(order(True)), "pen": own("pen"), "loss": own("loss")})
     agreed, against = F.col("alt.c") >= LEAST_SOURCES, F.col("pen") >= LEAST_SOURCES
     conflict = (agreed & (F.col("alt.v") >= LEAST_SUPPORT)) | (against & (F.col("loss") >= LEAST_SUPPORT))
-    return s.select("doc_id", "idx", "label", *(f"s_{m}" for m in MOVES), F.when(conflict, F.col("alt.m")).otherwise(F.col("top.m")).alias("suggestion"), (agreed | against).alias("consensus"), conflict.alias("conflict"))
+    return s.select("doc_id", "idx", "label", *(f"s_{m}" for m in MOVES), F.when(conflict, F.col("alt.m")).otherwise(F.col("top.m")).alias("suggestion"), (agreed | against).alias("consensus"), conflict.alias("conflict"), *keep)
 
 
 def scoring_sql(sents: str, rules: tuple[Rule, ...] = RULES) -> str:
@@ -218,11 +229,10 @@ def tail_sql(scoring: str) -> str:
     )
 
 
-def statistics(sentences: DataFrame, scored: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Firings of every rule, how many agree with the suggestion, net gain and Laplace reliability."""
-    s = with_context(sentences)
-    fired = F.filter(F.array(*(F.when(fires(r)[0], F.struct(F.lit(r.id).alias("rule"), F.lit(r.move).alias("move"), F.lit(1 if r.action == "+score" else 0).alias("plus"))) for r in rules)), lambda x: x.isNotNull())
-    rows = s.select("doc_id", "idx", F.explode(fired).alias("r")).select("doc_id", "idx", "r.*").join(scored.select("doc_id", "idx", "suggestion"), ["doc_id", "idx"])
+def statistics(scored: DataFrame) -> DataFrame:
+    """Firings of every rule, how many agree with the suggestion, net gain and Laplace reliability.
+    ``scored``: result of ``score`` that keeps ``fired``."""
+    rows = scored.select("suggestion", F.inline("fired"))
     right = ((F.col("suggestion") == F.col("move")) == (F.col("plus") == 1)).cast("long")
     return rows.groupBy("rule").agg(F.count("*").alias("matched"), F.sum(right).alias("correct"), F.sum(1 - right).alias("incorrect"), F.sum(2 * right - 1).alias("net_gain"), F.round((F.sum(right) + 1) / (F.count("*") + 2), 6).alias("reliability"))
 

@@ -8,7 +8,7 @@ from strataloom.operators import checks as C
 from strataloom.operators import extract, keywords, rules
 from strataloom.operators import relational as L
 from strataloom.operators import vectors as X
-from strataloom.plans.q_text import sentence_rows, sents
+from strataloom.plans.q_text import labelled_rows, sentence_rows, sents
 from strataloom.plans.q_vectors import _CENT
 from strataloom.plans.registry import registry
 from strataloom.session import table
@@ -146,7 +146,7 @@ def label_evaluation(spark, d):
 )
 def move_macro_scores(spark, d):
     """AGG-18: accuracy and macro F1 of suggested moves over the fixed list of moves."""
-    s = rules.score(sentence_rows(table(spark, d, "documents"), "abstract_text"), rules.RULES)
+    s = rules.score(labelled_rows(table(spark, d, "documents"), "abstract_text"), rules.RULES)
     return C.macro_scores(s.select(F.col("label").alias("gold"), F.col("suggestion").alias("pred")), rules.MOVES)
 
 

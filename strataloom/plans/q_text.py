@@ -67,6 +67,16 @@ def sentence_rows(docs: DataFrame, col: str, *keep: str) -> DataFrame:
     return s.select("doc_id", *keep, "n", F.posexplode("s").alias("idx", "sentence"))
 
 
+def sentence_arrays(docs: DataFrame, col: str) -> DataFrame:
+    """The sentences of every document as one array."""
+    return spread(docs.select("doc_id", F.col(col).alias("t"))).select("doc_id", T.sentences(F.col("t")).alias("s"))
+
+
+def labelled_rows(docs: DataFrame, col: str) -> DataFrame:
+    """The sentences of ``sentence_rows`` with what the rules need to know of those before them."""
+    return rules.seen_before(sentence_arrays(docs, col))
+
+
 @query(
     f"""SELECT doc_id, {_count('abstract_text', HAN)} AS han, {_count('abstract_text', '[A-Za-z]')} AS latin, {_gate('abstract_text')} AS gate,
     CASE WHEN {_count('abstract_text', HAN)} > 0.2 * {_count('abstract_text', '[A-Za-z]')} THEN 'zh' ELSE 'en' END AS by_ratio,
@@ -89,9 +99,10 @@ _METHOD, _RESULT = "propose|method|trained|present|erweitern|proponemos|提出|
 )
 def document_cue_profile(spark, d):
     """Minimum slice: documents admitted by the gate, their sentences and cue hits, by language and source."""
-    docs = table(spark, d, "documents").withColumn("gate", T.language_gate(F.col("abstract_text"))).where("gate <> 'pass'")
-    s = sentence_rows(docs, "abstract_text", "source", "gate")
-    return s.groupBy("gate", "source").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("sentences"), F.sum(F.lower("sentence").rlike(_METHOD).cast("long")).alias("method_hits"), F.sum(F.lower("sentence").rlike(_RESULT).cast("long")).alias("result_hits"))
+    docs = spread(table(spark, d, "documents").select("source", "abstract_text", T.language_gate(F.col("abstract_text")).alias("gate"))).where("gate <> 'pass'")
+    low = docs.select("gate", "source", F.transform(T.sentences(F.col("abstract_text")), lambda x: F.lower(x)).alias("s")).where(F.size("s") > 0)
+    hits = lambda p: F.sum(F.size(F.filter("s", lambda x: x.rlike(p)))).cast("long")
+    return low.groupBy("gate", "source").agg(F.count("*").alias("docs"), F.sum(F.size("s")).cast("long").alias("sentences"), hits(_METHOD).alias("method_hits"), hits(_RESULT).alias("result_hits"))
 
 
 @query(f"WITH s AS ({sents('abstract_text')}) SELECT doc_id, idx, n, sentence, round(idx / n::DOUBLE, 6) AS rel_pos, CASE WHEN idx / n::DOUBLE < 0.25 THEN 'beginning' WHEN idx / n::DOUBLE < 0.75 THEN 'middle' ELSE 'ending' END AS bucket FROM s")
@@ -111,10 +122,8 @@ _HEADING = r"^(#{1,6} .*|[0-9]+([.][0-9]+)*[.]?|(图|表|Fig[.]?|Figure|Table|Ta
 )
 def sentence_context(spark, d):
     """WIN-01: the sentences before and after, blank where one is a heading or caption."""
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    s = sentence_rows(table(spark, d, "documents"), "content_text").withColumn("heading", F.col("sentence").rlike(_HEADING))
-    side = lambda f: F.when(f("heading").over(w), "").otherwise(F.coalesce(f("sentence").over(w), F.lit("")))
-    return s.select("doc_id", "idx", side(F.lag).alias("prev_sentence"), side(F.lead).alias("next_sentence"))
+    docs = sentence_arrays(table(spark, d, "documents"), "content_text")
+    return docs.select("doc_id", F.posexplode(T.with_neighbours("s", lambda x: x.rlike(_HEADING))).alias("idx", "c")).select("doc_id", "idx", F.col("c.before").alias("prev_sentence"), F.col("c.after").alias("next_sentence"))
 
 
 @query(f"WITH s AS ({sents('abstract_text')}) SELECT doc_id, idx, {', '.join(f'{sql} AS {name}' for name, sql in rules.FEATURE_SQL.items())} FROM s")
@@ -126,27 +135,26 @@ def rule_features(spark, d):
 @query(rules.scoring_sql(sents("abstract_text")))
 def rule_scoring(spark, d):
     """RUL-03..05, WIN-02: scores of every sentence for each move, suggestion, consensus and conflict."""
-    return rules.score(sentence_rows(table(spark, d, "documents"), "abstract_text"), rules.RULES)
+    return rules.score(labelled_rows(table(spark, d, "documents"), "abstract_text"), rules.RULES)
 
 
 @query(rules.confidence_sql(rules.scoring_sql(sents("abstract_text"))))
 def move_confidence(spark, d):
     """AGG-10: mean clamped confidence of every suggested move of a document."""
-    return rules.move_confidence(rules.score(sentence_rows(table(spark, d, "documents"), "abstract_text"), rules.RULES))
+    return rules.move_confidence(rules.score(labelled_rows(table(spark, d, "documents"), "abstract_text"), rules.RULES))
 
 
 @query(rules.tail_sql(rules.scoring_sql(sents("abstract_text"))))
 def tail_relabel(spark, d):
     """WIN-04: the last run of result sentences that sum up becomes the conclusion."""
-    s = sentence_rows(table(spark, d, "documents"), "abstract_text")
-    return rules.relabel_tail(rules.score(s, rules.RULES).join(s.select("doc_id", "idx", "sentence"), ["doc_id", "idx"]))
+    s = labelled_rows(table(spark, d, "documents"), "abstract_text")
+    return rules.relabel_tail(rules.score(s, rules.RULES, "sentence"))
 
 
 @query(rules.stats_sql(rules.scoring_sql(sents("abstract_text")), sents("abstract_text")))
 def rule_statistics(spark, d):
     """AGG-23: matched, correct and incorrect firings of every rule, net gain and Laplace reliability."""
-    s = sentence_rows(table(spark, d, "documents"), "abstract_text")
-    return rules.statistics(s, rules.score(s, rules.RULES), rules.RULES)
+    return rules.statistics(rules.score(labelled_rows(table(spark, d, "documents"), "abstract_text"), rules.RULES, "fired"))
 
 
 @query(
@@ -226,7 +234,7 @@ def citation_markers(spark, d):
 @query(extract.DEFINITIONS_SQL.format(sents=sents("abstract_text")))
 def definition_sentences(spark, d):
     """EXT-05: sentences that define something, certain or not, with their neighbours."""
-    return extract.definitions(sentence_rows(table(spark, d, "documents"), "abstract_text"))
+    return extract.definitions(sentence_arrays(table(spark, d, "documents"), "abstract_text"))
 
 
 @query(extract.QUESTIONS_SQL.format(sents=sents("abstract_text")))
@@ -250,7 +258,7 @@ def entity_counts(spark, d):
 @query(extract.CONCEPT_SQL.format(sents=sents("abstract_text")))
 def concept_grouping(spark, d):
     """RES-16/17: definitions grouped by concept, with the mean confidence."""
-    return extract.group_concepts(extract.definitions(sentence_rows(table(spark, d, "documents"), "abstract_text")))
+    return extract.group_concepts(extract.definitions(sentence_arrays(table(spark, d, "documents"), "abstract_text")))
 
 
 @query(

@@ -20,17 +20,22 @@ def event_windows(events: DataFrame, size: str = "1 day", late: str = "2 days")
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def latest_states(log: DataFrame, key: str, order: str) -> DataFrame:
-    """STM-02: last state of every key of a log, in update mode."""
+def latest_states(log: DataFrame, key: str, order: str, late: str = "30 days") -> DataFrame:
+    """STM-02: last state of every key of a log, in update mode. State is kept by key and day of
+    ``order``; days older than ``late`` are let go, so that it does not grow with all keys ever seen. A key
+    gives one row for each day it changes on: the reader keeps the latest."""
     rest = [c for c in log.columns if c != key]
-    best = log.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r"))
+    timed = log.withColumn(order, F.col(order).cast("timestamp")).withWatermark(order, late)
+    best = timed.groupBy(key, F.window(order, "1 day").alias("day")).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r"))
     return best.select(key, "r.*")
 
 
-def proposals(docs: DataFrame, least: int = 3) -> DataFrame:
-    """STM-01: topics (language, keyword) that arriving documents support often enough."""
+def proposals(docs: DataFrame, least: int = 3, time: str = "created_at", span: str = "30 days", late: str = "7 days") -> DataFrame:
+    """STM-01: topics (language, keyword) that documents arriving within ``span`` support often enough."""
     k = F.from_json("metadata_json", "struct<keywords:array<string>>").getField("keywords")
-    return docs.select("lang", F.explode(k).alias("keyword")).groupBy("lang", F.lower("keyword").alias("topic")).agg(F.count("*").alias("support")).where(F.col("support") >= least)
+    timed = docs.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    rows = timed.select("lang", time, F.explode(k).alias("keyword")).groupBy(F.window(time, span).alias("w"), "lang", F.lower("keyword").alias("topic"))
+    return rows.agg(F.count("*").alias("support")).where(F.col("support") >= least).select(F.col("w.start").alias("since"), "lang", "topic", "support")
 
 
 def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> None:
