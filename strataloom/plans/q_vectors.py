@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import vectors as V
 from strataloom.operators import evaluation as E
-from strataloom.operators import relational as R
 from strataloom.operators import vectors as X
 from strataloom.plans.registry import registry
 from strataloom.session import table
@@ -108,13 +107,6 @@ def stratified_limit(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label", F.row_number().over(w).alias("turn")).orderBy("turn", "label").limit(40)
 
 
-@query(f"WITH RECURSIVE n AS (SELECT query_id AS a, neighbour AS b FROM ({_NEAR} WHERE q.vec_id % 50 = 0) WHERE rank <= 3), e AS (SELECT a, b FROM n UNION SELECT b, a FROM n), c(node, c) AS (SELECT a, a FROM e UNION SELECT e.b, c.c FROM c JOIN e ON e.a = c.node) SELECT node AS n, min(c) AS component FROM c GROUP BY node")
-def connected_terms(spark, d):
-    """SET-09, SET-11: connected components of the neighbour graph."""
-    e = table(spark, d, "embeddings")
-    return R.components(X.top_k(e.where("vec_id % 50 = 0"), e, 3), "query_id", "neighbour")
-
-
 @query("SELECT vec_id, round(CASE WHEN max(v) OVER () > min(v) OVER () THEN 5 + 90 * (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) ELSE 50 END, 6) AS x FROM (SELECT vec_id, embedding[1]::DOUBLE AS v FROM embeddings)")
 def minmax_scaling(spark, d):
     """WIN-08: scaling to 5..95; ends come from an aggregate, not from one window over all rows."""
@@ -164,12 +156,3 @@ def agglomerative_groups(spark, d):
 def pca_projection(spark, d):
     """CLU-08: two principal components (rows only: signs are free)."""
     return X.project(table(spark, d, "embeddings"))
-
-
-@query()
-def graph_communities(spark, d):
-    """SET-18, CLU-05: communities of the neighbour graph (rows only)."""
-    e = table(spark, d, "embeddings")
-    n = X.top_k(e.where("vec_id % 50 = 0"), e, 5).select(F.col("query_id").alias("src"), F.col("neighbour").alias("dst"), F.greatest("similarity", F.lit(0.05)).alias("weight"))
-    both = n.unionByName(n.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    return X.propagate_labels(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))

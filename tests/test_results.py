@@ -76,3 +76,24 @@ def test_arcs_and_nested(spark):
     assert D.sanitised_arcs(a).count() == 1
     s = spark.createDataFrame([(1, 0, 9, "long"), (1, 2, 4, "in"), (1, 8, 12, "over")], "doc_id int, start_pos int, end_pos int, entity string")
     assert {r.entity for r in D.without_nested(s).collect()} == {"long", "over"}
+
+
+def test_similarity_join_recall_and_hot_buckets(spark):
+    import numpy as np
+
+    from strataloom.operators import similarity
+
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((60, 24))
+    rows = [(i * 10 + j, (base[i] + 0.28 * j * rng.standard_normal(24)).tolist()) for i in range(60) for j in range(4)]
+    rows += [(10_000 + i, base[0].tolist()) for i in range(500)]  # copies of one vector
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    reps, member = similarity.classes(df, "id", "vector")
+    assert reps.count() == 240 and member.where("rep = 0").count() == 501
+    m = np.array([v for _, v in rows[:240]])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    ids = [i for i, _ in rows[:240]]
+    true = {(ids[x], ids[y]) for x in range(240) for y in range(x + 1, 240) if m[x] @ m[y] >= 0.84}
+    for most in (2000, 5):
+        got = {(r.a, r.b) for r in similarity.similar_pairs(reps, 0.84, most=most).collect()}
+        assert got <= true and len(got) >= (0.9 if most == 2000 else 0.3) * len(true) and len(true) > 50
