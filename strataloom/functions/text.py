@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,8 +166,12 @@ def discipline(code: Column) -> Column:
 
 
 def surface(text: Column) -> Column:
-    """Surface form: lower case, punctuation removed, blanks collapsed."""
-    return collapse(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", " "))
+    """STR-02: surface form: compatibility forms in one (NFKC), case folded, punctuation to blanks, blanks collapsed."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: unicodedata.normalize("NFKC", v).casefold(), na_action="ignore")
+
+    return collapse(F.regexp_replace(F.pandas_udf(run, "string")(text), r"[^\p{L}\p{N}\s]+", " "))
 
 
 def table_line(line: Column) -> Column:

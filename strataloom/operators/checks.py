@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
 from strataloom.functions.text import discipline
+from strataloom.operators.relational import placed
 
 # Suffixes that are read, how their files begin, and how binary files begin.
 SUFFIXES = ("pdf", "docx", "txt", "md", "json", "csv", "xlsx")
@@ -54,15 +55,8 @@ def taken(requests: DataFrame, cache: DataFrame, seconds: int) -> DataFrame:
 
 
 def ranked(rows: DataFrame, group: str, key: str, digits: int = 2) -> DataFrame:
-    """Place of every row (from 1) within its group by a hexadecimal key, exact and without one task a
-    group: rows are ranked within the key's first digits, and the groups' smaller counts are added."""
-    part = F.substring(key, 1, digits)
-    r = rows.withColumn("_part", part)
-    counts = r.groupBy(group, "_part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # 16 ** digits rows a group
-    counts = counts.select(group, "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy(group, "_part").orderBy(key))
-    return r.withColumn("_own", own).join(counts, [group, "_part"]).withColumn("place", F.col("_own") + F.col("before")).drop("_own", "_part", "before")
+    """Place of every row (from 1) within its group by a hexadecimal key, in parts by its first digits."""
+    return placed(rows, group, F.substring(key, 1, digits), [key])
 
 
 def folds(rows: DataFrame, id_col: str, profile: str, n_folds: int = 5, holdout: int = 60, seed: int = 42) -> DataFrame:

@@ -65,19 +65,33 @@ def evidence(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
     return hits.groupBy("doc_id", "name").agg(F.max("confidence").alias("confidence"), F.max_by("field", F.struct("confidence", "field")).alias("field"))
 
 
-def matched_entities(entities: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """JOIN-11, JOIN-12: entities matched with a vocabulary on the surface form, else by word prefix.
+def matched_entities(entities: DataFrame, vocabulary: DataFrame, longest: int = 64) -> DataFrame:
+    """JOIN-11, JOIN-12: entities matched with a vocabulary of their type: equal surface forms, else a form
+    of two or more characters that holds the other; the first vocabulary entry counts.
 
-    ``entities``: (entity); ``vocabulary``: (term, ord). The second step joins on the words an entity
-    begins with, so no pair of unrelated terms is formed.
+    ``entities``: (entity, type); ``vocabulary``: (term, type, ord). Containment is an equi-join with the
+    parts of the longer form, so unrelated terms never meet; forms of more than ``longest`` characters, of
+    which there are few, are compared with the vocabulary of their type directly.
     """
-    v = vocabulary.select(T.surface(F.col("term")).alias("form"), "term", "ord")
-    v = v.groupBy("form").agg(F.min_by("term", "ord").alias("term"), F.min("ord").alias("ord"))
-    e = entities.select("entity").distinct().withColumn("form", T.surface(F.col("entity")))
-    exact = e.join(v, "form").select("entity", "term", F.lit("exact").alias("how"))
-    w = F.split("form", " ")
-    rest = e.join(v, "form", "left_anti").select("entity", F.explode(F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: F.array_join(F.slice(w, F.lit(1), n), " "))).alias("form"))
-    part = rest.join(v, "form").groupBy("entity").agg(F.max_by("term", F.struct(F.char_length("form"), -F.col("ord"))).alias("term")).withColumn("how", F.lit("part"))
+    v = vocabulary.select(T.surface(F.col("term")).alias("form"), "term", "type", "ord")
+    v = v.groupBy("form", "type").agg(F.min_by("term", "ord").alias("term"), F.min("ord").alias("ord")).where(F.char_length("form") >= 2)
+    e = entities.select("entity", "type").distinct().withColumn("form", T.surface(F.col("entity"))).where(F.char_length("form") >= 2)
+    exact = e.join(v, ["form", "type"]).select("entity", "type", "term", F.lit("exact").alias("how"))
+    rest = e.join(v.select("form", "type"), ["form", "type"], "left_anti")
+
+    def parts(rows: DataFrame) -> DataFrame:
+        n = F.char_length("form")
+        subs = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(F.lit(2), n - i + 1), lambda k: F.substring("form", i, k))))
+        return rows.where(n <= longest).withColumn("part", F.explode(F.array_distinct(subs)))
+
+    held = parts(rest).select("entity", "type", F.col("part").alias("form")).join(v, ["form", "type"])
+    holding = parts(v).select("term", "type", "ord", F.col("part").alias("form")).join(rest, ["form", "type"])
+    a, b = rest.alias("a"), v.alias("b")
+    long = (F.char_length("a.form") > longest) | (F.char_length("b.form") > longest)
+    inside = F.contains("a.form", F.col("b.form")) | F.contains("b.form", F.col("a.form"))
+    very_long = a.join(b, (F.col("a.type") == F.col("b.type")) & long & inside).select("a.entity", "a.type", "b.term", "b.ord")
+    found = held.select("entity", "type", "term", "ord").unionByName(holding.select("entity", "type", "term", "ord")).unionByName(very_long)
+    part = found.groupBy("entity", "type").agg(F.min_by("term", "ord").alias("term")).withColumn("how", F.lit("part"))
     return exact.unionByName(part)
 
 

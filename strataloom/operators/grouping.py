@@ -1,6 +1,6 @@
-"""Order-dependent grouping within a task or document: complete linkage, greedy merging, label choice.
+"""Grouping whose order counts: complete linkage and greedy merging within a task or document, label choice.
 
-These run one group at a time; a group is the items of one task or document and must be bounded by
+The first two run one group at a time; a group is the items of one task or document and must be bounded by
 the caller (see ``limit``): larger groups are refused with an error instead of being collected.
 """
 
@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.session import checkpoint_dir
+
 
 def checked(df: DataFrame, group: str, limit: int) -> DataFrame:
     """``df`` if no group has more than ``limit`` rows, else ValueError."""
@@ -89,22 +91,22 @@ def extractive_candidates(terms: DataFrame, limit: int = 12) -> DataFrame:
     return j.withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("cluster_id", "term", "freq", "score", "rank")
 
 
-def choose_labels(candidates: DataFrame, most_clusters: int = 20000) -> DataFrame:
-    """LAB-04: labels chosen by score over all clusters so that no two clusters share one.
-
-    The choice is sequential, so its input is bounded: at most 12 candidates for each of at most
-    ``most_clusters`` clusters (ValueError above)."""
-    if candidates.select("cluster_id").distinct().count() > most_clusters:
-        raise ValueError(f"more than {most_clusters} clusters")
-    kind = dict(candidates.dtypes)["cluster_id"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen: dict = {}
-        taken: set = set()
-        for c, t in pdf.sort_values(["score", "cluster_id", "term"], ascending=[False, True, True])[["cluster_id", "term"]].itertuples(index=False):
-            if c not in chosen and t not in taken:
-                chosen[c] = t
-                taken.add(t)
-        return pd.DataFrame({"cluster_id": list(chosen), "label": list(chosen.values())})
-
-    return candidates.groupBy(F.lit(1).alias("_one")).applyInPandas(lambda pdf: run(pdf), f"cluster_id {kind}, label string")
+def choose_labels(candidates: DataFrame) -> DataFrame:
+    """LAB-04: labels chosen by score over all clusters so that no two clusters share one: what going through
+    all candidates from the best down gives (ties by cluster, then term), without that order.
+
+    In every round the candidates that are the best of their cluster and the best of their term are
+    taken, and their clusters and terms leave; no other choice could take them away. ``candidates``:
+    (cluster_id, term, score), distinct. A cluster whose terms are all taken has no label.
+    """
+    checkpoint_dir(candidates.sparkSession)
+    left = candidates.select("cluster_id", "term", "score").distinct().withColumn("o", F.struct((-F.col("score")).alias("s"), "cluster_id", "term")).checkpoint()
+    out = None
+    while not left.isEmpty():
+        of_cluster = left.groupBy("cluster_id").agg(F.min("o").alias("o"))
+        of_term = left.groupBy("term").agg(F.min("o").alias("o"))
+        taken = of_cluster.select("o").join(of_term.select("o"), "o").select("o.cluster_id", "o.term").checkpoint()
+        out = taken if out is None else out.unionByName(taken)
+        left = left.join(taken.select("cluster_id"), "cluster_id", "left_anti").join(taken.select("term"), "term", "left_anti").checkpoint()
+    none = candidates.select("cluster_id", F.col("term").alias("label")).limit(0)
+    return none if out is None else out.withColumnRenamed("term", "label")

@@ -45,11 +45,22 @@ def member_counts(parents: DataFrame, members: DataFrame, parent_id: str, member
     return parents.join(counts, parent_id, "left").withColumn("members", F.coalesce("members", F.lit(0)))
 
 
-def ordered_members(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Existing documents of every collection in their order; ties by document id."""
+def placed(rows: DataFrame, group: str, part: Column, order: list[Column | str]) -> DataFrame:
+    """Place of every row (from 1) within its group, exact and without one task a group: rows are ranked
+    within parts, and the sizes of the parts before are added. ``part`` must not decrease along ``order``."""
+    r = rows.withColumn("_part", part)
+    sizes = r.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    sizes = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))
+    return r.withColumn("_own", own).join(sizes, [group, "_part"]).withColumn("place", F.col("_own") + F.col("_before")).drop("_own", "_part", "_before")
+
+
+def ordered_members(members: DataFrame, docs: DataFrame, width: int = 1024) -> DataFrame:
+    """JOIN-04: existing documents of every collection in their order; ties by document id. A collection is
+    ranked in parts of ``width`` order numbers."""
     m = members.distinct().join(docs.select(F.col("id").alias("document_id"), "doc_id", "title"), "document_id")
-    w = Window.partitionBy("collection_id").orderBy("order_no", "document_id")
-    return m.select("collection_id", "document_id", "doc_id", "title", F.row_number().over(w).alias("place"))
+    return placed(m, "collection_id", F.floor(F.col("order_no") / width), ["order_no", "document_id"]).select("collection_id", "document_id", "doc_id", "title", "place")
 
 
 def content_key(title: Column, abstract: Column, content: Column) -> Column:

@@ -82,19 +82,21 @@ def evidence_coverage(spark, d):
     return docs.select("doc_id").join(h, "doc_id", "left").agg(F.count("*").alias("docs"), F.round(F.avg(F.when(F.col("n") > 0, 1).otherwise(0)), 6).alias("covered"), F.coalesce(F.sum("n"), F.lit(0)).alias("hits"))
 
 
-_VOC = "SELECT * FROM (VALUES ('Sea Ice', 1), ('sea ice thickness', 2), ('Crop', 3), ('Urban-noise', 4), ('soil', 5)) v(term, ord)"
+_TERMS = (("Sea Ice", "topic", 1), ("sea ice thickness", "topic", 2), ("Crop", "topic", 3), ("Urban-noise", "topic", 4), ("soil erosion control", "topic", 5), ("Soil", "metric", 6), ("wind", "metric", 7), ("海冰", "topic", 8))
+_VOC = f"SELECT * FROM (VALUES {', '.join(map(str, _TERMS))}) v(term, type, ord)"
 _SURF = "trim(regexp_replace(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}\\s]+', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), ' ')"
 
 
 @query(
-    f"""WITH e AS (SELECT DISTINCT keyword AS entity FROM ({keywords._META_SQL}) m WHERE keyword IS NOT NULL), v AS (SELECT {_SURF.format(c='term')} AS form, term, ord FROM ({_VOC})), f AS (SELECT entity, {_SURF.format(c='entity')} AS form FROM e),
-    x AS (SELECT entity, arg_min(term, ord) AS term, 'exact' AS how FROM f JOIN v USING (form) GROUP BY entity), p AS (SELECT f.entity, arg_max(v.term, {{'a': length(v.form), 'b': -v.ord}}) AS term, 'part' AS how FROM f JOIN v ON starts_with(f.form || ' ', v.form || ' ') WHERE f.entity NOT IN (SELECT entity FROM x) GROUP BY f.entity)
+    f"""WITH e AS (SELECT DISTINCT keyword AS entity, CASE pos % 3 WHEN 2 THEN 'metric' ELSE 'topic' END AS type FROM ({keywords._META_SQL}) m WHERE keyword IS NOT NULL), v AS (SELECT {_SURF.format(c='term')} AS form, term, type, ord FROM ({_VOC})), f AS (SELECT entity, type, {_SURF.format(c='entity')} AS form FROM e),
+    x AS (SELECT entity, f.type, arg_min(term, ord) AS term, 'exact' AS how FROM f JOIN v ON f.form = v.form AND f.type = v.type GROUP BY ALL), p AS (SELECT f.entity, f.type, arg_min(v.term, v.ord) AS term, 'part' AS how FROM f JOIN v ON f.type = v.type AND (contains(f.form, v.form) OR contains(v.form, f.form)) WHERE length(f.form) >= 2 AND NOT EXISTS (SELECT 1 FROM x WHERE x.entity = f.entity AND x.type = f.type) GROUP BY f.entity, f.type)
     SELECT * FROM x UNION ALL SELECT * FROM p"""
 )
 def vocabulary_match(spark, d):
-    """JOIN-11/12, STR-02: keywords matched with a standard vocabulary."""
-    voc = spark.createDataFrame([("Sea Ice", 1), ("sea ice thickness", 2), ("Crop", 3), ("Urban-noise", 4), ("soil", 5)], "term string, ord int")
-    e = keywords.of_metadata(table(spark, d, "documents")).where("keyword IS NOT NULL").select(F.col("keyword").alias("entity"))
+    """JOIN-11/12, STR-02: keywords matched with a standard vocabulary of their type."""
+    voc = spark.createDataFrame(_TERMS, "term string, type string, ord int")
+    kind = F.when(F.col("pos") % 3 == 2, "metric").otherwise("topic")
+    e = keywords.of_metadata(table(spark, d, "documents")).where("keyword IS NOT NULL").select(F.col("keyword").alias("entity"), kind.alias("type"))
     return D.matched_entities(e, voc)
 
 

@@ -79,3 +79,31 @@ def test_models(spark):
     m = R.text_classifier(t, "text", "label", 1 << 10)
     p = m.transform(t.withColumn("grams", R.chars(F.col("text"))))
     assert all(r.y == r.prediction for r in p.collect())
+
+
+def test_labels_chosen_in_rounds_are_those_chosen_in_order(spark):
+    import random
+
+    from strataloom.operators import grouping
+
+    rng = random.Random(9)
+    for _ in range(4):
+        rows = list({(c, f"t{rng.randrange(12)}"): (c, f"t{rng.randrange(12)}", float(rng.randrange(6))) for c in range(15) for _ in range(5)}.values())
+        rows = list({(c, t): (c, t, s) for c, t, s in rows}.values())
+        want, taken = {}, set()
+        for c, t, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+            if c not in want and t not in taken:
+                want[c] = t
+                taken.add(t)
+        got = {r.cluster_id: r.label for r in grouping.choose_labels(spark.createDataFrame(rows, "cluster_id int, term string, score double")).collect()}
+        assert got == want
+    assert grouping.choose_labels(spark.createDataFrame([], "cluster_id int, term string, score double")).collect() == []
+
+
+def test_vocabulary_by_containment_and_type(spark):
+    from strataloom.operators import documents
+
+    e = spark.createDataFrame([("ＳＥＡ ice", "t"), ("thick sea ice", "t"), ("ice", "t"), ("sea ice", "u"), ("Straße", "t"), ("x" * 70 + " sea ice", "t"), ("z", "t"), (None, "t")], "entity string, type string")
+    v = spark.createDataFrame([("Sea-Ice", "t", 2), ("old sea ice", "t", 1), ("STRASSE", "t", 3), ("z", "t", 4)], "term string, type string, ord int")
+    got = {(r.entity, r.term, r.how) for r in documents.matched_entities(e, v).collect()}
+    assert got == {("ＳＥＡ ice", "Sea-Ice", "exact"), ("thick sea ice", "Sea-Ice", "part"), ("ice", "old sea ice", "part"), ("Straße", "STRASSE", "exact"), ("x" * 70 + " sea ice", "Sea-Ice", "part")}
