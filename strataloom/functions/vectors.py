@@ -20,9 +20,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector at length 1; a null vector stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    """The vector at length 1; a null vector stays as it is. Vector and length are evaluated once, not
+    for each of its numbers."""
+
+    def scaled(v: Column) -> Column:
+        return F.element_at(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))), 1)
+
+    return F.element_at(F.transform(F.array(a), scaled), 1)
 
 
 def blend(base: Column, other: Column, weight: float) -> Column:

@@ -108,10 +108,10 @@ def lineage_one_hop(spark, d):
     return R.lineage(table(spark, d, "collection_documents"), "collection_id", "document_id")
 
 
-@query("SELECT f.id, f.original_name, f.size_bytes FROM files f WHERE f.sha256 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents x WHERE x.file_id = f.id)")
+@query("SELECT f.id, f.original_name, f.size_bytes FROM files f WHERE f.sha256 IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents x WHERE x.file_id = f.id AND x.updated_at IS NOT NULL)")
 def files_without_document(spark, d):
-    """JOIN-23: anti-join of files and the documents made from them."""
-    docs = table(spark, d, "documents").select(F.col("file_id").alias("id"))
+    """JOIN-23: anti-join of files and the documents that were made from them and completed."""
+    docs = table(spark, d, "documents").where("updated_at IS NOT NULL").select(F.col("file_id").alias("id"))
     return R.new_rows(table(spark, d, "files").where("sha256 IS NOT NULL"), docs, "id").select("id", "original_name", "size_bytes")
 
 
