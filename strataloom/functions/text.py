@@ -195,3 +195,14 @@ def with_neighbours(items: str, blank=None) -> Column:
         return x if blank is None else F.when(blank(x), "").otherwise(x)
 
     return F.transform(items, lambda x, i: F.struct(x.alias("item"), side(i - 1).alias("before"), side(i + 1).alias("after")))
+
+
+def all_terms(text: Column) -> Column:
+    """STR-14: distinct Latin tokens and Chinese n-grams of two to six characters."""
+    return F.array_distinct(F.concat(latin_terms(text), *(han_ngrams(text, n) for n in range(2, 7))))
+
+
+def label_words(text: Column, stop: list[str]) -> Column:
+    """STR-13: English words in the singular without stop words, then Chinese character bigrams."""
+    own = F.filter(words(text, "[a-z]+"), lambda w: ~w.isin(*stop))
+    return F.concat(F.transform(own, singular), han_ngrams(text, 2))

@@ -102,6 +102,17 @@ def cluster_quality(rows: DataFrame, cluster: str, vec: str) -> DataFrame:
     return each.select(cluster, "size", F.round(F.when(n > 1, F.col("pairs") / (n * (n - 1))), 5).alias("pairwise"), F.round(F.col("to_centre") - F.coalesce(other, F.lit(0.0)), 5).alias("separation"), F.round("silhouette", 5).alias("silhouette"))
 
 
+def davies_bouldin(rows: DataFrame, cluster: str, cents: DataFrame, vec: str) -> DataFrame:
+    """AGG-16: Davies-Bouldin index: mean over clusters of the worst sum of two mean distances to the centre
+    relative to the centres' distance. ``cents``: (cluster, centroid), packed into one row."""
+    far = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
+    spread = rows.join(cents.select(cluster, "centroid"), cluster).groupBy(cluster).agg(F.avg(far(F.col(vec), F.col("centroid"))).alias("s"), F.first("centroid").alias("c"))
+    packed = spread.agg(F.collect_list(F.struct(F.col(cluster).alias("k"), "s", "c")).alias("all"))
+    j = spread.join(F.broadcast(packed))  # one row
+    worst = F.array_max(F.transform(F.filter("all", lambda o: o["k"] != F.col(cluster)), lambda o: (F.col("s") + o["s"]) / far(F.col("c"), o["c"])))
+    return j.agg(F.count("*").alias("clusters"), F.round(F.avg(worst), 5).alias("davies_bouldin"))
+
+
 def cluster_label_terms(rows: DataFrame) -> DataFrame:
     """AGG-13: the best term of every cluster by count times IDF, halved for a term within another of the
     cluster's; ties by documents, then length. ``rows``: (cluster_id, doc_id, term, n).

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
+from strataloom.functions import vectors as V
 
 
 # --- parsing and projection -------------------------------------------------------------------
@@ -51,6 +52,12 @@ def capped_path(df: DataFrame, path: str = "path", levels: int = 3) -> DataFrame
     return df.withColumn(path, F.slice(path, 1, levels)).withColumn("code", F.try_element_at(path, F.lit(-1)))
 
 
+def legal_labels(rows: DataFrame, legal: tuple[str, ...]) -> DataFrame:
+    """RES-12: the rows; a label that is not legal is an error, not a row left out."""
+    wrong = F.concat(F.lit("illegal label: "), F.coalesce("label", F.lit("none")))
+    return rows.withColumn("label", F.when(F.col("label").isin(*legal), F.col("label")).otherwise(F.raise_error(wrong)))
+
+
 def label_counts(rows: DataFrame) -> DataFrame:
     """RES-14: rows and documents of every label. Documents are counted over distinct pairs, so that a
     frequent label costs no distinct count of its own."""
@@ -99,11 +106,15 @@ def same_branch_hits(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("n"), m(F.col("gold") == F.col("pred"), "exact"), m(branch, "branch"), m(F.left("gold", F.lit(1)) == F.left("pred", F.lit(1)), "top"))
 
 
-def pruned_topics(scores: DataFrame, topics: DataFrame, parents: int = 2) -> DataFrame:
-    """JOIN-22: topics of the best parents of every document only. ``scores``: (doc_id, parent, score)."""
-    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "parent")
-    best = scores.withColumn("place", F.row_number().over(w)).where(F.col("place") <= parents)
-    return best.join(topics, "parent").select("doc_id", "parent", "topic", "score")
+def pruned_topics(docs: DataFrame, parents: DataFrame, topics: DataFrame, best: int = 2) -> DataFrame:
+    """JOIN-22: scores of a document for the topics of its best parents only, so that most topics are never
+    scored. ``docs``: (doc_id, vector); ``parents``: (parent, vector), packed into one row, since a
+    taxonomy's parents are few; ``topics``: (topic, parent, vector)."""
+    packed = parents.agg(F.collect_list(F.struct("parent", F.col("vector").alias("v"))).alias("all"))
+    scored = F.transform("all", lambda p: F.struct((-F.round(V.cosine(F.col("vector"), p["v"]), 6)).alias("s"), p["parent"].alias("parent")))
+    top = docs.join(F.broadcast(packed)).select("doc_id", "vector", F.explode(F.slice(F.array_sort(scored), 1, best)).alias("b"))  # one row
+    j = top.select("doc_id", F.col("vector").alias("d"), F.col("b.parent").alias("parent")).join(topics, "parent")
+    return j.select("doc_id", "parent", "topic", F.round(V.cosine(F.col("d"), F.col("vector")), 6).alias("score"))
 
 
 def first_mapping(docs: DataFrame, mapping: list[tuple[str, str]], columns: list[str]) -> DataFrame:

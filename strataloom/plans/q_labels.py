@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from strataloom.functions import text as T
 from strataloom.operators import keywords
 from strataloom.operators import labelling as L
+from strataloom.operators import results as R
+from strataloom.operators import vectors as X
+from strataloom.plans.q_vectors import _CENT
 from strataloom.plans.registry import registry
 from strataloom.session import table
 
@@ -114,3 +117,38 @@ def representative_terms(spark, d):
     t = docs.select(F.col("workspace_id").alias("cluster_id"), "doc_id", F.explode(T.latin_terms(F.col("title"))).alias("term"), F.lit(False).alias("keyword"))
     k = keywords.of_metadata(docs).where("keyword IS NOT NULL").select("doc_id", F.lower("keyword").alias("term"), F.lit(True).alias("keyword")).join(docs.select("doc_id", F.col("workspace_id").alias("cluster_id")), "doc_id")
     return L.representative_terms(t.unionByName(k).groupBy("cluster_id", "doc_id", "term").agg(F.max("keyword").alias("keyword")))
+
+
+@query(
+    f"WITH c AS ({_CENT}), s AS (SELECT label, avg(list_distance(e.embedding::DOUBLE[], c.centroid)) AS s FROM embeddings e JOIN c USING (label) GROUP BY label), r AS (SELECT a.label, max((a.s + b.s) / list_distance(ca.centroid, cb.centroid)) AS w FROM s a JOIN s b ON a.label <> b.label JOIN c ca ON ca.label = a.label JOIN c cb ON cb.label = b.label GROUP BY a.label) SELECT count(*) AS clusters, round(avg(w), 5) AS davies_bouldin FROM r"
+)
+def davies_bouldin(spark, d):
+    """AGG-16: Davies-Bouldin index of the labelled vectors."""
+    e = table(spark, d, "embeddings")
+    return L.davies_bouldin(e, "label", X.centroids(e, "label"), "embedding")
+
+
+_HAN = "[\\x{4e00}-\\x{9fff}]"
+_GRAMS = lambda n: f"flatten(list_transform(regexp_extract_all(coalesce(title, ''), '{_HAN}{{{n},}}'), lambda r: list_transform(range(1, length(r) - {n} + 2), lambda i: substring(r, i, {n}))))"
+
+
+@query(f"WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(title, '')), '[a-z][a-z0-9-]{{2,}}') || {' || '.join(_GRAMS(n) for n in range(2, 7))} AS terms FROM documents) SELECT doc_id, list_sort(list_distinct(terms)) AS terms FROM t")
+def title_terms(spark, d):
+    """STR-14: Latin tokens and Chinese n-grams of the titles."""
+    return table(spark, d, "documents").select("doc_id", F.array_sort(T.all_terms(F.col("title"))).alias("terms"))
+
+
+@query(
+    f"WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z]+'), lambda w: w NOT IN ({', '.join(repr(x) for x in keywords.STOP)})) AS w, {_GRAMS(2)} AS g FROM documents) "
+    "SELECT doc_id, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^.{2,}ies$') THEN regexp_replace(x, 'ies$', 'y') WHEN regexp_matches(x, '^.+(ss|x|ch|sh)es$') THEN regexp_replace(x, 'es$', '') WHEN regexp_matches(x, '^.{2,}[^s]s$') THEN regexp_replace(x, 's$', '') ELSE x END) || g AS words FROM w"
+)
+def title_words(spark, d):
+    """STR-13: words of the titles in the singular and Chinese bigrams."""
+    return table(spark, d, "documents").select("doc_id", T.label_words(F.col("title"), keywords.STOP).alias("words"))
+
+
+@query("SELECT doc_id, lang AS label FROM documents WHERE lang IS NOT NULL AND lang <> 'und'")
+def legal_labels(spark, d):
+    """RES-12: labels that must all be legal (an error otherwise)."""
+    rows = table(spark, d, "documents").where("lang IS NOT NULL AND lang <> 'und'").select("doc_id", F.col("lang").alias("label"))
+    return R.legal_labels(rows, ("en", "zh", "de", "fr", "es", "pt", "ja", "ru", "ko", "th"))

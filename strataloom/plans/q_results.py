@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strataloom.operators import extract, keywords
 from strataloom.operators import results as R
+from strataloom.operators import vectors as X
 from strataloom.plans.q_text import sentence_rows
 from strataloom.plans.registry import registry
 from strataloom.session import table
@@ -40,12 +41,19 @@ def taxonomy_accuracy(spark, d):
     return R.same_branch_hits(p.select("doc_id", "gold"), p.select("doc_id", "pred"))
 
 
-@query("WITH s AS (SELECT vec_id AS doc_id, k AS parent, round(embedding[k + 1]::DOUBLE, 6) AS score FROM embeddings, range(0, 6) t(k)), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, parent) <= 2) SELECT doc_id, parent, topic, score FROM b JOIN (SELECT k // 3 AS parent, k AS topic FROM range(0, 18) t(k)) USING (parent)")
+_C = lambda key: f"SELECT k, list(m ORDER BY dim) AS c FROM (SELECT {key} AS k, i AS dim, avg(embedding[i]::DOUBLE) AS m FROM embeddings, unnest(range(1, 65)) AS r(i) GROUP BY ALL) GROUP BY k"
+
+
+@query(
+    f"WITH p AS ({_C('label')}), t AS ({_C('label * 3 + vec_id % 3')}), s AS (SELECT vec_id, embedding::DOUBLE[] AS e, p.k AS parent, round(list_cosine_similarity(embedding::DOUBLE[], p.c), 6) AS ps FROM embeddings, p), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY ps DESC, parent) <= 2) "
+    "SELECT vec_id AS doc_id, parent, t.k AS topic, round(list_cosine_similarity(e, t.c), 6) AS score FROM b JOIN t ON t.k // 3 = parent"
+)
 def pruned_topics(spark, d):
     """JOIN-22: topics of the two best parents."""
-    s = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.posexplode(F.slice("embedding", 1, 6)).alias("parent", "score")).select("doc_id", F.col("parent").cast("long").alias("parent"), F.round(F.col("score").cast("double"), 6).alias("score"))
-    topics = spark.range(18).select(F.floor(F.col("id") / 3).alias("parent"), F.col("id").alias("topic"))
-    return R.pruned_topics(s, topics)
+    e = table(spark, d, "embeddings").withColumn("topic", F.col("label") * 3 + F.col("vec_id") % 3)
+    parents = X.centroids(e, "label").select(F.col("label").cast("long").alias("parent"), F.col("centroid").alias("vector"))
+    topics = X.centroids(e, "topic").select("topic", F.floor(F.col("topic") / 3).alias("parent"), F.col("centroid").alias("vector"))
+    return R.pruned_topics(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), parents, topics)
 
 
 @query("SELECT user_id AS doc_id, count(*) AS total, count(*) FILTER (event_type = 'click') AS explicit, round(count(*) FILTER (event_type = 'click') / greatest(count(*), 1)::DOUBLE, 3) AS explicit_ratio, count(*) FILTER (value >= 10) AS kept FROM events GROUP BY user_id")
