@@ -54,6 +54,40 @@ RULES = (
 )
 
 
+def rules_of(data: dict) -> tuple[Rule, ...]:
+    """RUL-01: typed rules of a parsed rule file (YAML or JSON): a list under ``pattern_rules`` or ``rules``,
+    each with id, target_move, action, weight, necessary_conditions and exclusion_conditions. A condition
+    has one of any_of, all_of, pattern, dim (a cue dimension), after_move, before_move, or rel_min and
+    rel_max. Rules that only ask for a review score nothing and are left out; unknown moves, actions and
+    conditions are errors."""
+
+    def condition(c: dict) -> tuple[str, object]:
+        if c.get("any_of"):
+            return "any_of", tuple(map(str, c["any_of"]))
+        if c.get("all_of"):
+            return "all_of", tuple(map(str, c["all_of"]))
+        if c.get("pattern"):
+            return "pattern", str(c["pattern"])
+        if f"f_{c.get('dim')}" in FEATURE_SQL:
+            return "feature", f"f_{c['dim']}"
+        for kind in ("after", "before"):
+            if c.get(f"{kind}_move") in MOVES:
+                return kind, c[f"{kind}_move"]
+        if "rel_min" in c or "rel_max" in c:
+            return "rel", (float(c.get("rel_min", 0.0)), float(c.get("rel_max", 1.0)))
+        raise ValueError(f"unknown condition {c}")
+
+    out = []
+    for r in data.get("pattern_rules") or data.get("rules") or []:
+        if r.get("action", "review") == "review":
+            continue
+        if r["action"] not in ("+score", "-score") or r.get("target_move") not in MOVES:
+            raise ValueError(f"unknown action or move in rule {r.get('id')}")
+        needs, excludes = (tuple(condition(c) for c in r.get(f"{k}_conditions") or ()) for k in ("necessary", "exclusion"))
+        out.append(Rule(str(r["id"]), r["target_move"], r["action"], float(r.get("weight", 0.5)), needs, excludes))
+    return tuple(out)
+
+
 def cue_columns(sentence: Column) -> dict[str, Column]:
     """The six dimensions of a sentence as 0 or 1."""
     low = F.lower(sentence)

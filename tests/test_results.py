@@ -1,5 +1,6 @@
 """Result shaping on small fixtures."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import documents as D
@@ -97,3 +98,42 @@ def test_similarity_join_recall_and_hot_buckets(spark):
     for most in (2000, 5):
         got = {(r.a, r.b) for r in similarity.similar_pairs(reps, 0.84, most=most).collect()}
         assert got <= true and len(got) >= (0.9 if most == 2000 else 0.3) * len(true) and len(true) > 50
+
+
+def test_vector_index(spark, tmp_path):
+    from strataloom.sources import vector_index
+
+    folder = str(tmp_path / "index")
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "vec_id long, embedding array<double>")
+    vector_index.build(df, folder)
+    assert [(r.vec_id, r.embedding) for r in vector_index.scan(spark, folder).collect()] == [(1, [0.6, 0.8])]
+    with pytest.raises(ValueError):
+        vector_index.build(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], df.schema), folder)
+    assert vector_index.scan(spark, folder).count() == 1  # the old index stays in force
+    vector_index.build(df.limit(0), folder)
+    assert vector_index.scan(spark, folder).count() == 0
+
+
+def test_move_rules_of_a_file():
+    from strataloom.operators import rules
+
+    names = {"any_of": lambda a: {"any_of": list(a)}, "all_of": lambda a: {"all_of": list(a)}, "pattern": lambda a: {"pattern": a}, "feature": lambda a: {"dim": a[2:]}, "after": lambda a: {"after_move": a}, "before": lambda a: {"before_move": a}, "rel": lambda a: {"rel_min": a[0], "rel_max": a[1]}}
+    data = {"rules": [{"id": r.id, "target_move": r.move, "action": r.action, "weight": r.weight, "necessary_conditions": [names[k](a) for k, a in r.needs], "exclusion_conditions": [names[k](a) for k, a in r.excludes]} for r in rules.RULES] + [{"id": "R9"}]}
+    assert rules.rules_of(data) == rules.RULES and rules.rules_of({}) == ()
+    for bad in ({"id": "x", "target_move": "other", "action": "+score"}, {"id": "x", "target_move": "method", "action": "+score", "necessary_conditions": [{"dim": "none"}]}):
+        with pytest.raises(ValueError):
+            rules.rules_of({"rules": [bad]})
+
+
+def test_evidence_rules_of_a_file(spark, tmp_path):
+    from strataloom.operators import citations
+
+    path = tmp_path / "r.json"
+    path.write_text('{"rules": [{"id": "T", "axis": "technical", "aliases": ["graph net"], "exclude_any": ["survey"], "conditional_aliases": [{"term": "net", "requires_any": ["graph"]}]}]}')
+    found = citations.load_rules(str(path))
+    rows = [(1, "A graph net", None), (2, None, "We use a graph net."), (3, None, "A graph net was known; we use it."), (4, None, "We did not use the graph net."), (5, None, "We use a survey of the graph net."), (6, None, "We train a net on the graph."), (7, None, "Related work: we use a graph net; we train magnets."), (8, "", "")]
+    df = spark.createDataFrame(rows, "doc_id long, title string, abstract_text string")
+    got = {(r.doc_id, r.field, r.derivation) for r in citations.evidence_hits(df, found, {"title": 0.9, "abstract_text": 0.7}).collect()}
+    assert got == {(1, "title", "explicit"), (2, "abstract_text", "explicit"), (6, "abstract_text", "contextual")}
+    with pytest.raises(ValueError):
+        citations.rules_of({"rules": [{"id": "x"}]})
