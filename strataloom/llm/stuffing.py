@@ -47,7 +47,7 @@ _KEYWORDS = re.compile(rf"^\s*(?i:{KEYWORD_LINES})\s*(?:[:：]|[-–—])")
 _THAI = re.compile(r"[฀-๿]")
 _WORD = re.compile(r"[^\W_]+")
 # The tokens of phrases, and how many characters of the scripts without spaces make a phrase.
-TOKEN = r"[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]|[\p{L}\p{M}\p{N}&&[^\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]]+"
+TOKEN = r"[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]|#?[\p{L}\p{M}\p{N}&&[^\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]]+"
 WIDE, THAI = 4, 8
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 
@@ -178,13 +178,15 @@ def list_density(text: Column) -> Column:
 
 def shingles(text: Column) -> Column:
     """Keys (array<bigint>) of a text's phrase shingles, in order and with repetitions. Numbers all
-    count as one word, so that prices and item numbers make no phrase unlike another."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{N}+", "0")
+    count as one word, and so do the hosts of addresses, so that prices, item numbers and made-up hosts make
+    no phrase unlike another. A hash tag is a phrase of its own, since its words may stand together."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    plain = F.regexp_replace(F.when(low.contains("://"), F.regexp_replace(low, r"://[^/\s)]+", "://host")).otherwise(low), r"\p{N}+", "0")
     words = F.regexp_extract_all(plain, F.lit(TOKEN), 0)
 
     def keys(ws: Column) -> Column:
         def key(w: Column, i: Column) -> Column:
-            n = F.when(F.char_length(w) > 1, 2).when(w.between("ก", "๿"), THAI).when(w >= "\u3040", WIDE).otherwise(2)
+            n = F.when(w.startswith("#"), 1).when(F.char_length(w) > 1, 2).when(w.between("ก", "๿"), THAI).when(w >= "\u3040", WIDE).otherwise(2)
             return F.xxhash64(F.slice(ws, i + 1, n))
 
         return F.transform(ws, key)
