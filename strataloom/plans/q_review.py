@@ -8,7 +8,7 @@ from strataloom.functions import papers as P
 from strataloom.functions import sequential as S
 from strataloom.operators import extract
 from strataloom.operators import review as R
-from strataloom.plans.q_text import _count, sentence_rows, sents
+from strataloom.plans.q_text import _count, sentence_arrays, sentence_rows, sents
 from strataloom.plans.registry import registry
 from strataloom.session import spread, table
 
@@ -91,3 +91,38 @@ def heading_chunks(spark, d):
     """EXT-13: chunks of the contents that begin at headings."""
     docs = spread(table(spark, d, "documents").where("content_text IS NOT NULL").select("doc_id", "content_text"))
     return docs.select("doc_id", F.posexplode(S.udf(lambda t: P.heading_chunks(t, 1500), "array<string>", F.col("content_text"))).alias("place", "chunk"))
+
+
+@query(
+    extract.DEFINITIONS_SQL.format(sents=sents("abstract_text")).replace("WITH s AS", "WITH s AS", 1).replace("SELECT * FROM (SELECT doc_id, idx, sentence,", "SELECT d.doc_id, d.idx, instr(x.abstract_text, d.sentence)::INT - 1 AS at FROM (SELECT * FROM (SELECT doc_id, idx, sentence,", 1)
+    + ") d JOIN documents x ON x.doc_id = d.doc_id WHERE contains(x.abstract_text, d.sentence)"
+)
+def located_definitions(spark, d):
+    """RES-15: offsets of definitions that stand in the text as they are."""
+    docs = table(spark, d, "documents").select("doc_id", "abstract_text")
+    found = extract.definitions(sentence_arrays(docs, "abstract_text")).select("doc_id", "idx", "sentence").join(docs, "doc_id").where(F.contains("abstract_text", F.col("sentence")))
+    return found.select("doc_id", "idx", S.udf(P.locate_definition, "int", F.col("sentence"), F.col("abstract_text")).alias("at"))
+
+
+@query()
+def excerpt_windows(spark, d):
+    """RES-25: the beginning of every text and windows around cues, within a total size."""
+    cut = S.udf(lambda t: P.excerpts(t, ["propose", "result", "提出", "结果"], 300, 60, 120, 900), "array<struct<start_pos:int,end_pos:int>>", F.col("text"))
+    return _texts(spark, d).select("doc_id", F.inline(cut))
+
+
+@query()
+def disjoint_spans(spark, d):
+    """SET-17: of the entities of a text those without overlap, by start and then the longest."""
+    spans = extract.lexicon_spans(table(spark, d, "documents"), "abstract_text", extract.LEXICON)
+    pairs = F.transform("spans", lambda x: F.struct(x["start_pos"].alias("a"), (x["end_pos"] + 12).alias("b")))
+    kept = S.udf(lambda xs: S.longest_spans([(int(x["a"]), int(x["b"])) for x in xs]), "array<struct<start_pos:int,end_pos:int>>", pairs)
+    return spans.select("doc_id", F.inline(kept))
+
+
+@query()
+def fund_parts(spark, d):
+    """SRC-10: sections of proposals (contents under the headings of one) and the kinds that are missing."""
+    t = F.concat(F.lit("1. Background\n"), F.coalesce("abstract_text", F.lit("")), F.lit("\n二、研究内容\n"), F.coalesce("title", F.lit("")), F.lit("\nBudget\n"), F.col("source"))
+    found = S.udf(lambda x: [[k for k, _ in P.fund_sections(x)[0]], P.fund_sections(x)[1]], "array<array<string>>", t)
+    return table(spark, d, "documents").select("doc_id", found.alias("f")).select("doc_id", F.get("f", F.lit(0)).alias("kinds"), F.get("f", F.lit(1)).alias("missing"))

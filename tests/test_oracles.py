@@ -124,7 +124,29 @@ def spectral(rows, docs, vectors):
     assert len({r.id for r in rows}) == len(rows) and {r.cluster for r in rows} <= {0, 1, 2}
 
 
+def windows_bounded(rows, docs, vectors):
+    of = defaultdict(list)
+    for r in rows:
+        assert 0 <= r.start_pos <= r.end_pos <= len(docs[r.doc_id].text)
+        of[r.doc_id].append(r.end_pos - r.start_pos)
+    assert set(of) == {i for i, x in docs.items() if x.text is not None} and max(map(sum, of.values())) <= 900
+
+
+def no_overlap(rows, docs, vectors):
+    of = defaultdict(list)
+    for r in rows:
+        of[r.doc_id].append((r.start_pos, r.end_pos))
+    assert rows and all(x[1] <= y[0] for v in of.values() for x, y in zip(sorted(v), sorted(v)[1:]))
+
+
+def parts_and_missing(rows, docs, vectors):
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert {"basis", "aims", "budget"} <= set(r.kinds) and not set(r.kinds) & set(r.missing) and len(set(r.kinds) | set(r.missing)) == 6
+
+
 PROPERTIES = {
+    "excerpt_windows": windows_bounded, "disjoint_spans": no_overlap, "fund_parts": parts_and_missing,
     "agglomerative_groups": one_a_vector(10**6), "bucketed_clusters": one_a_vector(20), "kmeans_clusters": one_a_vector(10), "greedy_groups": one_a_vector(10**6),
     "clipped_titles": clipped, "metadata_repair": repaired, "keyword_groups": same_terms, "title_in_text": titles_found, "cluster_labels": labels_differ, "question_merge": questions_kept,
     "joined_lines": lines_joined, "heading_chunks": chunks_bounded, "pca_projection": projected, "compact_vectors": compacted, "graph_communities": communities, "spectral_clusters": spectral,
