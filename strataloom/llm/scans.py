@@ -1,10 +1,10 @@
 """Problem 3: repair of text read from scanned pages.
 
 Lines are labelled by a hidden Markov model (states: body, heading, header, page, table, blank) whose
-observations are layout features; it is fitted on a bounded sample, starting from reliable lines and
-re-estimated on its own Viterbi labels; lines that recur as running headers are counted over all
-documents. Header and page lines are dropped, the rest is joined into
-paragraphs. Words parted at line ends are joined, misread letters and Chinese or Japanese characters
+observations are layout features; it is fitted on the lines of all documents, starting from reliable
+lines and re-estimated on its own Viterbi labels; lines that recur as running headers and the letters of
+words and names are counted over all documents. Header and page lines are dropped, the rest is joined
+into paragraphs. Words parted at line ends are joined, misread letters and Chinese or Japanese characters
 are corrected: each suspect form and its possible readings are looked up, by a join, in a lexicon of
 the words of all documents, and the reading with the best evidence wins.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,15 +27,20 @@ from pyspark.sql import functions as F
 from strataloom.llm import corpus
 from strataloom.session import checkpoint_dir
 
-#: Largest number of rows the line model and the letter model are fitted on; log evidence that a
-#: correction must have over the form as it stands; log likelihood of its letters that a reading which no
-#: text holds may lose against the form as it stands.
-SAMPLE, BAR, LIKELY = 3000, 2.0, 0.5
+#: Log evidence that a correction must have over the form as it stands; log likelihood of its letters that
+#: a reading which no text holds may lose against the form as it stands.
+BAR, LIKELY = 2.0, 0.5
+#: Rows to which counts over all rows are brought down (never up), so that the weight of what was not seen
+#: and of a common word is the same in a corpus of any size.
+UNIT = 3000
 #: Log evidence that a capitalised word's reading has at least where a text holds it (names are alike by chance).
 HELD = -3.5
 #: Texts that make a line a known running header; letters of the shortest word that is examined.
 HEADERS, LETTERS = 2, 2
 STATES = ("body", "heading", "header", "page", "table", "blank")
+KINDS = ("blank", "page", "bare", "row", "tab", "cell", "other")
+#: Most lines whose states are found at once; the character that stands for the first of all observations.
+AT_ONCE, FIRST = 1 << 17, 0x4E00
 # How letters are misread (right, wrong) and look-alike characters of Chinese and Japanese.
 MISREAD = (("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("w", "vv"), ("l", "1"), ("o", "0"), ("e", "c"), ("c", "e"), ("h", "b"), ("b", "h"), ("u", "ii"), ("in", "m"), ("и", "н"), ("н", "и"), ("s", "5"), ("b", "8"), ("i", "l"), ("l", "i"), ("é", "6"), ("t", "l"), ("п", "л"), ("б", "6"), ("ы", "ьl"), ("ы", "ь1"), ("ü", "ii"))
 CHARACTERS = ("间问", "土士", "天夭", "大犬", "日曰", "未末", "没设", "已己", "侵浸", "微徽", "入人", "干千", "力刀", "贝见", "ロ口", "カ力", "エ工", "ニ二", "タ夕", "ー一", "ソン", "シツ")
@@ -49,12 +55,15 @@ for _pair in CHARACTERS:
 INVISIBLE = r"[\u200b-\u200d\u2060\ufeff]|\u00ad(?!\s|$)"
 _INVISIBLE = re.compile(INVISIBLE)
 _MARKS = re.compile(f"[{''.join(_PARTNER)}]")
+_MARK = f"[\\u3000-\\u9fff&&[{''.join(_PARTNER)}]]"  # the same in Java; the range first: it is left by one comparison
 HYPHENS = "-‐‑­¬"
 _LATIN = "A-Za-z0-9À-ÖØ-öø-ɏ"
 WORD = rf"[{_LATIN}]+(?:[-'’][{_LATIN}]+)*|[Ѐ-ԯ0-9l]+"
 _WORD = re.compile(WORD)
 LOWER_WORD = r"[a-z0-9ß-öø-ɏ]++(?:[-'’][a-z0-9ß-öø-ɏ]++)*+|[Ѐ-ԯ0-9l]++"  # the same in lower case, for built-in functions
 _NAME = re.compile(r"^[A-ZÀ-Ö\d]?[a-zà-öø-ɏ\d'’-]*(?:[A-Z\d]{1,2}|[A-Z\d][a-z\d]+)?$|^[A-ZÀ-Ö\d]+$|^[Ѐ-ԯ\dl]+$")
+# A capitalised word in lower letters, as Python's \b bounds it (Java looks back only where a capital stands).
+NAME_WORD = r"[A-Z](?<![\p{L}\p{N}_].)[a-z]{3,}+(?![\p{L}\p{N}_])"
 _CODE = frozenset("/+=@_#&")  # beside parts of addresses and encoded data, which are no words
 _WIDE = "[\\u3040-\\u30ff\\u3400-\\u9fff]"
 _PIECE = rf"[{_LATIN}]+"
@@ -67,6 +76,8 @@ _VOLUME = re.compile(rf"(?:{VOLUME})(?:\s+\d{{1,4}})?$|^\d{{1,4}}\s{{2,}}\D|\D\s
 _PAGED = re.compile(r"^\d{1,4}\s{2,}|\s{2,}\d{1,4}$")
 _AUTHORS = re.compile(r"^[^\W\d_][\w'’-]+ (?i:et al\.?|и др\.|et coll\.|u\. a\.|y col\.|e col\.)$|^[A-Z][A-Z'’-]+ (?:AND|ET|UND|Y|E) [A-Z][A-Z'’-]+$|^[A-Z][\w'’-]+ (?:and|et|und|y|e) [A-Z][\w'’-]+$|^\S{1,12}(?:课题组|等|ほか)$")
 _END = re.compile(r"[.!?。！？…:：;；][\"'”’»“」』)\]）】]*(?:\[\d+\])*$")
+_LAST = frozenset(".!?。！？…:：;；\"'”’»“」』)]）】")  # what a line with an end mark ends in
+_DIGIT, _OTHER = re.compile(r"\d"), re.compile(r"\W+")
 _NUMBERED = re.compile(r"^(?:#{1,6}\s|\d{1,2}(?:\.\d{1,2})*[.、]?\s(?=[^\s\d]))")
 _MISREAD = re.compile(r"(?<![\w+/=.:@&?#-])(?:[^\W\d_]?[a-zà-öø-ÿ]+[0158][a-zà-öø-ÿ]{2,}|[^\W\d_]?[a-zà-öø-ÿ]*vv[a-zà-öø-ÿ]{2,}|[а-яА-Я]?[а-я]*(?:ь[l1]|[06])[а-я]{2,})(?![\w+/=@-])")
 # What any scanned text holds: a parted word, a line of a number, a digit or a doubled letter in place of
@@ -108,11 +119,12 @@ def observe(lines: list[str], title: str, known: frozenset[str]) -> list[tuple]:
     bare = [x.strip() for x in lines]
     kinds = []
     for x in bare:
-        kinds.append("blank" if not x else "page" if _PAGE.match(x) else "bare" if _BARE.match(x) else "row" if _ROW.match(x) else "tab" if _TABLE.match(x) else "other")
+        kinds.append("blank" if not x else "other" if not _DIGIT.search(x) else "page" if _PAGE.match(x) else "bare" if _BARE.match(x) else "row" if _ROW.match(x) else "tab" if _TABLE.match(x) else "other")
     long = sorted(len(x) for x, k in zip(bare, kinds) if k == "other")
     width = long[len(long) * 3 // 4] if long else 1
-    head = re.sub(r"\W+", "", title or "").casefold()
-    ends = [bool(_END.search(x)) for x in bare]
+    head = _OTHER.sub("", title or "").casefold()
+    ends = [x[-1:] in _LAST and bool(_END.search(x)) for x in bare]
+    ends = [end and not (x[-1:] == "." and _AUTHORS.match(_PAGED.sub("", x))) for x, end in zip(bare, ends)]  # a name's dot ends nothing
     signs = [_signs(x, head, known) if k == "other" else (False, False, _paged(x) and bool(_VOLUME.search(x))) for x, k in zip(bare, kinds)]
     out = []
     n = len(lines)
@@ -123,12 +135,12 @@ def observe(lines: list[str], title: str, known: frozenset[str]) -> list[tuple]:
         follow[i] = ahead
         if other[i]:
             ahead = bare[i]
+    pages = {i for i, k in enumerate(kinds) if k in ("page", "bare")}
     opened = False  # whether the last line of text has no end mark
     for i, (x, k, end, (mine, is_known, volume)) in enumerate(zip(bare, kinds, ends, signs)):
-        rows = [kinds[j] for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < n]
-        if k == "bare" and any(r in ("row", "tab") for r in rows):
+        if k == "bare" and any(kinds[j] in ("row", "tab") for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < n):
             k = "cell"
-        near = any(kinds[j] in ("page", "bare") for j in (i - 3, i - 2, i - 1, i + 1, i + 2, i + 3) if 0 <= j < n)
+        near = bool(pages) and not pages.isdisjoint((i - 3, i - 2, i - 1, i + 1, i + 2, i + 3))
         goes_on = bool(follow[i]) and (follow[i][0].islower() or (opened and not _NUMBERED.match(follow[i])))
         out.append((k, end, len(x) < 0.75 * width, volume, is_known, mine, opened, goes_on, bool(_NUMBERED.match(x)), near, lines[i][:4] == "    "))
         if other[i]:
@@ -147,7 +159,7 @@ def _signs(line: str, head: str, known: frozenset[str]) -> tuple[bool, bool, boo
     core = _PAGED.sub("", line) if paged else line
     mine = bool(_AUTHORS.match(core))
     if not mine and head and (not core[:1].isalnum() or core[0].casefold() == head[0]):
-        flat = re.sub(r"\W+", "", core).casefold()
+        flat = _OTHER.sub("", core).casefold()
         mine = len(flat) >= 8 and head.startswith(flat[:-1])
     return mine, (_name(line) if paged else line.lower()) in known, paged and bool(_VOLUME.search(line))
 
@@ -168,53 +180,123 @@ def _seed(o: tuple) -> int:
     return 0
 
 
+def encoded(obs: list[tuple]) -> str:
+    """Observations as a text of one character each."""
+    return "".join([_CODES.get(o) or _CODES.setdefault(o, chr(FIRST + sum(x << j for j, x in enumerate(o[1:])) + (KINDS.index(o[0]) << 10))) for o in obs])
+
+
+_CODES: dict[tuple, str] = {}
+
+
+def _decoded(code: int) -> tuple:
+    return (KINDS[code >> 10], *(bool(code >> j & 1) for j in range(len(FEATURES) - 1)))
+
+
+def _codes(seq: str) -> np.ndarray:
+    return np.frombuffer(seq.encode("utf-32-le"), np.uint32).astype(np.int64) - FIRST
+
+
 class LineModel:
     """Log probabilities of the hidden Markov model, and the running headers known from all documents."""
 
     def __init__(self, emit: list[list[dict]], move: np.ndarray, known: frozenset[str]) -> None:
         self.emit, self.move, self.known = emit, move, known
-        self.rows: dict[tuple, list[float]] = {}  # by observation, of which there are few
-
-    def label(self, obs: list[tuple]) -> list[int]:
-        """The likeliest states of the lines (Viterbi)."""
-        if not obs:
-            return []
-        for o in set(obs) - self.rows.keys():
-            self.rows[o] = [sum(f.get(v, -9.0) for f, v in zip(self.emit[s], o)) for s in range(len(STATES))]
-        scores = np.array([self.rows[o] for o in obs])
-        best = scores[0].copy()
-        back = []
-        for row in scores[1:]:
-            step = best[:, None] + self.move
-            back.append(step.argmax(0))
-            best = step.max(0) + row
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        return path[::-1]
-
-
-def _estimate(seqs: list[tuple[list[tuple], list[int]]], known: frozenset[str]) -> LineModel:
-    n = len(STATES)
-    counts = [[Counter() for _ in FEATURES] for _ in range(n)]
-    move = np.full((n, n), 0.5)
-    for obs, labels in seqs:
-        for o, s in zip(obs, labels):
-            for c, v in zip(counts[s], o):
-                c[v] += 1
-        for a, b in zip(labels, labels[1:]):
-            move[a, b] += 1
-    emit = [[{v: math.log((c[v] + 0.1) / (sum(c.values()) + 1)) for v in (("blank", "page", "bare", "row", "tab", "cell", "other") if j == 0 else (True, False))} for j, c in enumerate(state)] for state in counts]
+        self.rows = np.full((len(KINDS) << 10, len(STATES)), np.nan)  # by observation, of which there are few
+
+    def __reduce__(self):
+        return LineModel, (self.emit, self.move, self.known)
+
+    def labels(self, seqs: list[str]) -> list[np.ndarray]:
+        """The likeliest states of the lines of texts (Viterbi); texts of like length are run through at once."""
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(seqs)
+        order = sorted((i for i, x in enumerate(seqs) if x), key=lambda i: -len(seqs[i]))
+        while order:
+            some = order[: max(1, AT_ONCE // len(seqs[order[0]]))]
+            order = order[len(some) :]
+            for i, path in zip(some, self._paths([_codes(seqs[i]) for i in some])):
+                out[i] = path
+        return out
+
+    def _paths(self, seqs: list[np.ndarray]) -> list[np.ndarray]:
+        """As ``labels``, for sequences from the longest to the shortest."""
+        size = np.array([len(x) for x in seqs])
+        obs = np.zeros((size[0], len(seqs)), np.int64)
+        for i, x in enumerate(seqs):
+            obs[: len(x), i] = x
+        for o in np.unique(obs):
+            if np.isnan(self.rows[o, 0]):
+                self.rows[o] = [sum(f.get(v, -9.0) for f, v in zip(self.emit[s], _decoded(int(o)))) for s in range(len(STATES))]
+        running = [int(np.searchsorted(-size, -t, "left")) for t in range(size[0])]  # sequences longer than t
+        best = self.rows[obs[0]]
+        back = np.zeros((size[0], len(seqs), len(STATES)), np.int8)
+        for t in range(1, size[0]):
+            k = running[t]
+            step = best[:k, :, None] + self.move
+            back[t, :k] = step.argmax(1)
+            best[:k] = step.max(1) + self.rows[obs[t, :k]]
+        state = best.argmax(1)
+        path = np.zeros(obs.shape, np.int8)
+        for t in range(size[0] - 1, -1, -1):
+            k = running[t]
+            path[t, :k] = state[:k]
+            state[:k] = back[t, np.arange(k), state[:k]]
+        return [path[:n, i] for i, n in enumerate(size)]
+
+
+def tallied(seqs: list[str], times: list[int], model: LineModel | None) -> tuple[np.ndarray, np.ndarray]:
+    """How often each observation comes in each state, and each state after another, in sequences that
+    occur so many times: in the states that ``model`` finds, or without one where lines are reliable."""
+    seen = np.zeros((len(STATES), len(KINDS) << 10), np.int64)
+    moves = np.zeros((len(STATES), len(STATES)), np.int64)
+    found = model.labels(seqs) if model else None
+    for i, (seq, n) in enumerate(zip(seqs, times)):
+        codes = _codes(seq)
+        states = found[i] if model else _SEEDS[codes]
+        np.add.at(seen, (states, codes), n)
+        np.add.at(moves, (states[:-1], states[1:]), n)
+    return seen, moves
+
+
+_SEEDS = np.array([_seed(_decoded(c)) for c in range(len(KINDS) << 10)], np.int8)
+
+
+def _estimate(seen: np.ndarray, moves: np.ndarray, known: frozenset[str], scale: float = 1.0) -> LineModel:
+    counts = [[Counter() for _ in FEATURES] for _ in STATES]
+    for s, o in zip(*seen.nonzero()):
+        for c, v in zip(counts[s], _decoded(int(o))):
+            c[v] += int(seen[s, o])
+    emit = [[{v: math.log((c[v] / scale + 0.1) / (sum(c.values()) / scale + 1)) for v in (KINDS if j == 0 else (True, False))} for j, c in enumerate(state)] for state in counts]
+    move = moves / scale + 0.5
     return LineModel(emit, np.log(move / move.sum(1, keepdims=True)), known)
 
 
-def fit_lines(rows: list[tuple[str, str]], known: frozenset[str] = frozenset(), rounds: int = 2) -> LineModel:
-    """The line model of rows (title, text): seeds, then re-estimation on Viterbi labels."""
-    lines = [(title or "", text.splitlines()) for title, text in rows if text and "\n" in text]
-    seqs = [(obs, [_seed(o) for o in obs]) for obs in (observe(ls, title, known) for title, ls in lines)]
-    model = _estimate(seqs, known)
-    for _ in range(rounds):
-        model = _estimate([(obs, model.label(obs)) for obs, _ in seqs], known)
+def sequences(df: DataFrame, fields: list[str], title_col: str, known: frozenset[str]) -> DataFrame:
+    """Distinct sequences of observations (seq) of the texts of several lines, and in how many fields each occurs (n)."""
+
+    def run(title: pd.Series, *columns: pd.Series) -> pd.Series:
+        return pd.Series([[encoded(observe(v.splitlines(), t or "", known)) for v in values if v] for t, *values in zip(title, *columns)])
+
+    several = [F.when(F.instr(f, "\n") > 0, F.col(f)) for f in fields]
+    found = df.where(F.coalesce(*several).isNotNull()).select(F.explode(F.pandas_udf(run, "array<string>")(F.col(title_col), *several)).alias("seq"))
+    return found.groupBy("seq").agg(F.count("*").alias("n"))
+
+
+def fit_lines(seqs: DataFrame, known: frozenset[str] = frozenset(), scale: float = 1.0, rounds: int = 2) -> LineModel:
+    """The line model of all sequences (seq, n): seeds, then re-estimation on Viterbi labels. What comes to
+    the driver is one count for each state and observation or following state, whatever the corpus."""
+    model = None
+    for _ in range(rounds + 1):
+
+        def run(batches: Iterator[pd.DataFrame], model: LineModel | None = model) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for move, counts in enumerate(tallied(list(b["seq"]), list(b["n"]), model)):
+                    state, other = counts.nonzero()
+                    yield pd.DataFrame({"move": move == 1, "state": state, "other": other, "n": counts[state, other]})
+
+        total = (np.zeros((len(STATES), len(KINDS) << 10), np.int64), np.zeros((len(STATES), len(STATES)), np.int64))
+        for r in seqs.mapInPandas(run, "move boolean, state int, other int, n long").groupBy("move", "state", "other").agg(F.sum("n").alias("n")).collect():
+            total[r.move][r.state, r.other] = r.n
+        model = _estimate(*total, known, scale)
     return model
 
 
@@ -251,23 +333,24 @@ class LetterModel:
         return total
 
 
-def _trigrams(seen: Counter, most: int) -> tuple[dict, dict]:
-    counts: Counter = Counter()
+def _trigrams(forms: DataFrame, most: int, scale: float) -> tuple[dict, dict]:
+    """Counts, divided by ``scale``, of three letters and of the first two of them in all forms (option,
+    fields), a form counting ``most`` times at the most. No more of them than an alphabet has."""
+    w = F.concat(F.lit("^^"), F.col("option"), F.lit("$"))
+    three = F.transform(F.sequence(F.lit(1), F.char_length(w) - 2), lambda i: F.substring(w, i, 3))
+    times = F.least("fields", F.lit(round(most * scale)))  # whole numbers: a sum that no order changes
+    rows = forms.select(times.alias("n"), F.explode(three).alias("three")).groupBy("three").agg(F.sum("n").alias("n")).collect()
     pairs: Counter = Counter()
-    for w, n in seen.items():
-        w = f"^^{w}$"
-        for i in range(len(w) - 2):
-            counts[w[i : i + 3]] += min(n, most)
-            pairs[w[i : i + 2]] += min(n, most)
-    return dict(counts), dict(pairs)
+    for r in rows:
+        pairs[r.three[:2]] += r.n
+    return {r.three: r.n / scale for r in rows}, {k: n / scale for k, n in pairs.items()}
 
 
-def fit_letters(texts: list[str]) -> LetterModel:
-    names = Counter(w.lower() for t in texts for w in re.findall(r"\b[A-Z][a-z]{3,}\b", t))
-    words: Counter = Counter()
-    for t in texts:
-        words.update({w.lower() for w in _WORD.findall(t)})
-    return LetterModel(_trigrams(names, 3), _trigrams(words, 30))
+def fit_letters(counted: DataFrame, scale: float = 1.0) -> LetterModel:
+    """The letter model of all words and names of a lexicon."""
+    name = F.col("option").startswith("^")
+    names = counted.where(name).select(F.substring("option", 2, 1 << 30).alias("option"), "fields")
+    return LetterModel(_trigrams(names, 3, scale), _trigrams(counted.where(~name & ~F.col("option").rlike(_MARK)), 30, scale))
 
 
 def _as_read(word: str, wrong: str, at: int, right: str) -> str:
@@ -375,15 +458,17 @@ def _words(text: str, spots: list[tuple[int, int, str]]) -> list[tuple[int, str]
     return out
 
 
-def traces(text: str, title: str, lines_model: LineModel, letters: LetterModel) -> tuple[list[tuple[str, str]], str, list[tuple[int, int, str]]]:
-    """Traces of scanning (damage, base), the text in whole paragraphs, and there (start, end, base) of
+def examined(text: str) -> bool:
+    """Whether a text shows what any scanned text holds."""
+    return bool(_TRACE.search(text) or _WRAPS.search(text))
+
+
+def traces(text: str, labels: np.ndarray) -> tuple[list[tuple[str, str]], str, list[tuple[int, int, str]]]:
+    """Traces of scanning (damage, base) of a text whose lines have these states, the text in whole paragraphs, and there (start, end, base) of
     the parted words, which stand joined as far as that is known without a lexicon."""
     out: list[tuple[str, str]] = []
-    if not _TRACE.search(text) and not _WRAPS.search(text):
-        return out, text, []
     hidden = bool(_INVISIBLE.search(text))
     lines = text.splitlines()
-    labels = lines_model.label(observe(lines, title, lines_model.known))
     kept: list[str] = []
     wrapped = 0
     body: list[str] = []  # body lines of the running paragraph
@@ -466,24 +551,30 @@ def written(text: str, spots: list[tuple[int, int, str]], found: dict[tuple[str,
     return "".join(out) + text[at:]
 
 
-def fitted(df: DataFrame, fields: list[str], title_col: str) -> tuple[LineModel, LetterModel]:
+def fitted(df: DataFrame, fields: list[str], title_col: str) -> tuple[LineModel, LetterModel, DataFrame]:
+    """The line model, the letter model and the lexicon of all rows."""
+    checkpoint_dir(df.sparkSession)
     known = corpus.recurring(df, fields, header_names(F.col("text")), HEADERS)
-    texts = [(r[0], v) for r in corpus.sampled(df, SAMPLE, title_col, *fields) for v in r[1:] if v]
-    return fit_lines(texts, known), fit_letters([t for _, t in texts])
+    counted = lexicon(df, fields).checkpoint()
+    scale = max(1.0, df.count() / UNIT)
+    return fit_lines(sequences(df, fields, title_col, known).checkpoint(), known, scale), fit_letters(counted, scale), counted
 
 
-def _read(df: DataFrame, fields: list[str], id_col: str, title_col: str, models: tuple[LineModel, LetterModel], whole: bool) -> DataFrame:
+def _read(df: DataFrame, fields: list[str], id_col: str, title_col: str, model: LineModel, whole: bool) -> DataFrame:
     """Rows (doc, read): for each field its traces, if ``whole`` also the repaired text; read once, then kept."""
 
     def run(title: pd.Series, *columns: pd.Series) -> pd.Series:
+        asked = {(i, f): v for f, values in zip(fields, columns) for i, v in enumerate(values) if v and examined(v)}
+        titles = list(title)
+        states = model.labels([encoded(observe(v.splitlines(), titles[i] or "", model.known)) for (i, _), v in asked.items()])
+        found = {at: traces(v, s) for (at, v), s in zip(asked.items(), states)}
         out = []
-        for t, *values in zip(title, *columns):
-            each = [(f, *(traces(v, t or "", *models) if v else ([], v, []))) for f, v in zip(fields, values)]
+        for i, values in enumerate(zip(*columns)):
+            each = [(f, *found.get((i, f), ([], v, []))) for f, v in zip(fields, values)]
             out.append(each if whole else [x[:2] for x in each if x[1]])
         return pd.Series(out)
 
     kind = f"array<struct<field_name:string,{TRACES}{',' + REPAIRED if whole else ''}>>"
-    checkpoint_dir(df.sparkSession)
     return df.select(F.col(id_col).alias("doc"), F.pandas_udf(run, kind)(F.col(title_col), *(F.col(f) for f in fields)).alias("read")).checkpoint()
 
 
@@ -515,14 +606,13 @@ def _decided(read: DataFrame, lexicon: DataFrame, letters: LetterModel) -> DataF
 
 
 def lexicon(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Number of distinct texts (n) and of fields (fields) in which each word, or look-alike character
-    with its neighbours, occurs. A misread page that is copied must not speak for its own misreadings."""
-    mark = f"[\\u3000-\\u9fff&&[{''.join(_PARTNER)}]]"  # the range first: it is left by one comparison
-
+    """Number of distinct texts (n) and of fields (fields) in which each word, name (after ^), or look-alike
+    character with its neighbours, occurs. A misread page that is copied must not speak for its own misreadings."""
     def forms(text: Column) -> Column:
         words = F.regexp_extract_all(F.lower(text), F.lit(LOWER_WORD), 0)
-        wide = F.when(text.rlike(mark), F.regexp_extract_all(F.regexp_replace(text, r"\s+", ""), F.lit(f"(?=(.{mark}.))"), 1)).otherwise(F.array().cast("array<string>"))
-        return F.array_distinct(F.concat(words, wide))
+        names = F.transform(F.regexp_extract_all(text, F.lit(NAME_WORD), 0), lambda x: F.concat(F.lit("^"), F.lower(x)))
+        wide = F.when(text.rlike(_MARK), F.regexp_extract_all(F.regexp_replace(text, r"\s+", ""), F.lit(f"(?=(.{_MARK}.))"), 1)).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(words, names, wide))
 
     text = F.col("text")
     plain = F.when(text.rlike("[\u00ad\u200b-\u200d\u2060\ufeff]"), F.regexp_replace(text, INVISIBLE, "")).otherwise(text)
@@ -534,17 +624,17 @@ def lexicon(df: DataFrame, fields: list[str]) -> DataFrame:
 def scan_traces(df: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...] = ("abstract_text", "content_text"), title_col: str = "title") -> DataFrame:
     """Distinct rows (id, field_name, damage, reading) of the traces of scanning."""
     fields = list(fields)
-    models = fitted(df, fields, title_col)
-    found = _decided(_read(df, fields, id_col, title_col, models, False), lexicon(df, fields), models[1])
+    lines, letters, counted = fitted(df, fields, title_col)
+    found = _decided(_read(df, fields, id_col, title_col, lines, False), counted, letters)
     return found.select(F.col("doc").alias(id_col), "field_name", "damage", "reading").distinct()
 
 
 def paragraphs(df: DataFrame, *fields: str, id_col: str = "doc_id", title_col: str = "title") -> DataFrame:
     """Each text in continuous paragraphs of whole, correctly read words, without headers and page
     numbers. Only texts with traces are joined with their readings."""
-    models = fitted(df, list(fields), title_col)
-    read = _read(df, list(fields), id_col, title_col, models, True)
-    found = _decided(read, lexicon(df, list(fields)), models[1]).where(F.col("damage").isin("break", "glyph"))
+    lines, letters, counted = fitted(df, list(fields), title_col)
+    read = _read(df, list(fields), id_col, title_col, lines, True)
+    found = _decided(read, counted, letters).where(F.col("damage").isin("break", "glyph"))
     found = found.groupBy("doc").agg(F.collect_list(F.struct("field_name", "damage", "base", "reading")).alias("found"))
 
     @F.udf("array<string>")

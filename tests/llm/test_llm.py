@@ -1,8 +1,10 @@
 """Training-data operators: edge cases, brute force, exact round trips, held-out accuracy."""
 
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,6 +208,42 @@ def test_copies_of_a_misread_page(spark):
     assert {r.option: r.n for r in scans.lexicon(df, ["abstract_text", "content_text"]).collect()}["vvere"] == 1
 
 
+def test_models_of_scans_are_fitted_on_all_rows(spark):
+    """A table repeated has the same lines and words in the same shares, so the same models. From a sample it has not."""
+    letter = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, f"Title {i}", f"{letter(i)}ser {letter(7 * i)[::-1].title()}ost went on" + "\n" * (i % 3) + f"\n{i if i % 5 else 'and stopped.'}" * (i % 4 + 1)) for i in range(3000)]
+    kind = "doc_id long, title string, content_text string"
+    one = spark.createDataFrame(rows, kind).repartition(4)
+    two = spark.createDataFrame(rows + [(i + 3000, t, c) for i, t, c in rows], kind).repartition(4)
+    a, b = (scans.fitted(df, ["content_text"], "title") for df in (one, two))
+    assert a[0].emit == b[0].emit and (a[0].move == b[0].move).all()
+    assert a[1].names == b[1].names and a[1].words == b[1].words
+    assert a[1].words[0]["ser"] == 3000 and a[1].names[0]["ost"] == 3000
+
+
+def test_states_of_lines_against_brute_force():
+    draw = random.Random(5)
+    n = len(scans.STATES)
+    emit = [[{v: -draw.random() * 5 for v in (scans.KINDS if j == 0 else (True, False))} for j in range(len(scans.FEATURES))] for _ in range(n)]
+    move = [[-draw.random() * 5 for _ in range(n)] for _ in range(n)]
+    model = scans.LineModel(emit, np.array(move), frozenset())
+    texts = [[(draw.choice(scans.KINDS), *(draw.random() < 0.5 for _ in scans.FEATURES[1:])) for _ in range(k)] for k in (2, 0, 4, 1, 4, 3)]
+
+    def score(obs, path):
+        return sum(f[v] for o, s in zip(obs, path) for f, v in zip(emit[s], o)) + sum(move[x][y] for x, y in zip(path, path[1:]))
+
+    for obs, got in zip(texts, model.labels([scans.encoded(o) for o in texts])):
+        assert tuple(got) == max(itertools.product(range(n), repeat=len(obs)), key=lambda p: score(obs, p))
+
+
+def test_authors_line_has_no_end_mark(spark):
+    """The dot of et al. ends no sentence, so the line is a header and the word around it is joined."""
+    lines = ["The drift filter of the upper river was used for all sam-", "Kelnor et al.", "ples of the long series, while the result of the lower", "river stayed the same in all of the years that we saw."]
+    df = spark.createDataFrame([(1, "T", None, "\n".join(lines))], "doc_id long, title string, abstract_text string, content_text string")
+    got = {(r.damage, r.reading) for r in scans.scan_traces(df).collect()}
+    assert got == {("header", "Kelnor et al."), ("break", "samples")}
+
+
 def test_short_and_unlikely_misreadings(spark):
     rows = [(1, "t", "See the long data page of the new set for the qiiery\nplanner protocol.", None), (2, "t", "The vvhole kemel was tested.", None), (3, "t", "The regions of the first set and all the\nother sets use the kemel of the baselme and\nthe values of the tables.", None)]
     rows += [(i, "t", f"{i} The whole query of the kernel at the baseline was tested.", None) for i in range(4, 60)]
