@@ -29,6 +29,11 @@ def unit(a: Column) -> Column:
     return F.element_at(F.transform(F.array(a), scaled), 1)
 
 
+def rounded(a: Column, digits: int) -> Column:
+    """Every number of a vector rounded; one below zero keeps its sign where it becomes zero, as in SQL."""
+    return F.transform(a, lambda x: F.signum(x) * F.round(F.abs(x), digits))
+
+
 def blend(base: Column, other: Column, weight: float) -> Column:
     """RUL-12: both vectors at length 1 side by side, weighted by the roots of 1 - w and w."""
     return F.concat(F.transform(unit(base), lambda x: x * (1 - weight) ** 0.5), F.transform(unit(other), lambda x: x * weight**0.5))

@@ -36,8 +36,9 @@ def phrase_centres(phrases: DataFrame) -> DataFrame:
 
 def evidence_centres(sentences: DataFrame, phrases: DataFrame) -> DataFrame:
     """RES-43: centre of a cluster from one sentence of each of its documents, all alike, not brought
-    to length 1; the phrase-weighted centre where it has none. ``sentences``: (cluster_id, doc_id, place, vector)."""
-    one = sentences.groupBy("cluster_id", "doc_id").agg(F.min_by("vector", "place").alias("vector")).withColumn("w", F.lit(1.0))
+    to length 1; the phrase-weighted centre where it has none. ``sentences``: (cluster_id, doc_id, place,
+    vector); one without a vector does not stand for its document."""
+    one = sentences.where(F.col("vector").isNotNull()).groupBy("cluster_id", "doc_id").agg(F.min_by("vector", "place").alias("vector")).withColumn("w", F.lit(1.0))
     s = vector_sums(one, "cluster_id", "vector", "w").select("cluster_id", F.transform("sum", lambda x: x / F.col("n")).alias("of_documents"))
     return phrase_centres(phrases).join(s, "cluster_id", "full_outer").select("cluster_id", F.coalesce("of_documents", "centre").alias("centre"), F.col("of_documents").isNotNull().alias("from_documents"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
+from strataloom.functions import vectors as V
 from strataloom.operators import keywords
 from strataloom.operators import labelling as L
 from strataloom.operators import results as R
@@ -35,7 +36,7 @@ def _phrases(spark, d):
 @query(f"WITH {_MEAN} SELECT cluster_id, list_transform(centre, lambda x: round(x, 5)) AS centre FROM cen")
 def phrase_centres(spark, d):
     """RES-29: phrase-weighted centre of every cluster."""
-    return L.phrase_centres(_phrases(spark, d)).select("cluster_id", F.transform("centre", lambda x: F.round(x, 5)).alias("centre"))
+    return L.phrase_centres(_phrases(spark, d)).select("cluster_id", V.rounded(F.col("centre"), 5).alias("centre"))
 
 
 @query(
@@ -45,8 +46,8 @@ def phrase_centres(spark, d):
 def evidence_centres(spark, d):
     """RES-43: centres from one sentence of each document, else from phrases."""
     p = _phrases(spark, d)
-    s = p.where("cluster_id <> 3").select("cluster_id", F.floor(F.col("vec_id") / 3).alias("doc_id"), F.col("vec_id").alias("place"), "vector")
-    return L.evidence_centres(s, p).withColumn("centre", F.transform("centre", lambda x: F.round(x, 5)))
+    s = p.where("cluster_id <> 3").select("cluster_id", F.expr("vec_id div 3").alias("doc_id"), F.col("vec_id").alias("place"), "vector")
+    return L.evidence_centres(s, p).withColumn("centre", V.rounded(F.col("centre"), 5))
 
 
 _CAND = f"""t AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(w, 9) DESC, lower(text), text) AS place FROM p QUALIFY place <= 8),

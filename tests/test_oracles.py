@@ -188,3 +188,16 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["gate", "source", "docs", "sentences", "method_hits", "result_hits"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["evidence_centres", "phrase_centres"])
+def test_centres_to_the_sign_of_zero(spark, tmp_path, name):
+    """Numbers that round to zero from below, and a first sentence without a vector."""
+    rows = [(i, i % 5 % 3 + 2, None if i == 3 else [(-1e-7, 1e-7, 0.0)[k % 3] if k < 6 else ((i * 31 + k * 17) % 23 - 11) / 7 for k in range(64)]) for i in range(37)]
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(SQL[name]).fetchall())
+    got = sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert list(map(repr, got)) == list(map(repr, want))
+    assert any(repr(x) == "-0.0" for r in want for x in r[1])
